@@ -25,7 +25,7 @@ KINDS = {
     "dr": "drive", "drv": "drive", "drive": "drive", "rd": "road", "road": "road", "ln": "lane", "lane": "lane", "subd": "subdivision", "subdiv": "subdivision", "subdivision": "subdivision",
 }
 NOISE = ("brgy", "bgy", "bo", "barangay", "city", "town", "municipality", "of", "no", "nr", "num", "number", "province", "the", "near", "philippines", "lot", "blk", "block")
-UNIT = r"\b(unit|rm|room|stall|suite|door|apt)\b\.?\s*(no\b\.?)?\s*#?\s*[0-9]+(\s?-\s?[a-z]\b|[a-z]\b)?|\b(ground|upper|lower|[0-9]+(st|nd|rd|th))\s+(floor|flr|fl)\b\.?|\b[0-9]+\s?/\s?f\b|\b(floor|flr)\s*[0-9]+\b"
+UNIT = r"\b(unit|rm|room|stall|suite|door|apt)\b\.?\s*(no\b\.?)?\s*#?\s*([0-9]+(\s?-\s?[a-z]\b|[a-z]\b)?|[a-z]\b)|\b(ground|upper|lower|[0-9]+(st|nd|rd|th))\s+(floor|flr|fl)\b\.?|\b[0-9]+\s?/\s?f\b|\b(floor|flr)\s*[0-9]+\b"
 LOT, BLOCK = r"\b(?:lot|l)\b?\.?\s*#?([0-9]+)\b", r"\b(?:block|blk|b)\b?\.?\s*#?([0-9]+)\b"
 
 #: A word is a slip of another that is so many times as common.
