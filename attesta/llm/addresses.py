@@ -12,11 +12,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions.keys import canonical_no
+from attesta.llm.spelling import spellings
 from attesta.sources.durable import durable
 
 # How the parts of an address are written.
@@ -28,32 +27,11 @@ NOISE = ("brgy", "bgy", "bo", "barangay", "city", "town", "municipality", "of",
 UNIT = r"\b(unit|rm|room|stall|suite|door|apt)\b\.?\s*(no\b\.?)?\s*#?\s*([0-9]+(\s?-\s?[a-z]\b|[a-z]\b)?|[a-z]\b)|\b(ground|upper|lower|[0-9]+(st|nd|rd|th))\s+(floor|flr|fl)\b\.?|\b[0-9]+\s?/\s?f\b|\b(floor|flr)\s*[0-9]+\b"
 LOT, BLOCK = r"\b(?:lot|l)\b?\.?\s*#?([0-9]+)\b", r"\b(?:block|blk|b)\b?\.?\s*#?([0-9]+)\b"
 
-#: A word is a slip of another that is so many times as common.
-RATIO = 10
 #: Share of the weight of the words that both forms' parts have in common.
 LEAST_OVERLAP = 0.55
 EDITS = 2
 
 
-def _deletes(w: Column) -> Column:
-    """The word and every word that one deletion makes of it."""
-    return F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-
-
-def spellings(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(w, good) for words that are slips: `good` is within one edit or swap, and in `known` or RATIO times as common.
-
-    words: (w, n) distinct words with the number of forms that have them; known: (w), right as they are.
-    """
-    vocab = words.join(known.withColumn("is_known", F.lit(True)), "w", "full_outer").select("w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("is_known", F.lit(False)).alias("is_known")).filter(F.length("w").between(4, 40))
-    index = vocab.select("w", "n", "is_known", F.explode(_deletes(F.col("w"))).alias("d"))
-    slip = index.filter("NOT is_known AND n > 0").select("d", F.col("w").alias("w"), F.col("n").alias("nw"))
-    good = index.select("d", F.col("w").alias("good"), F.col("n").alias("ng"), "is_known")
-    near = slip.join(good, "d").filter((F.col("w") != F.col("good")) & (F.col("is_known") | (F.col("ng") >= RATIO * F.col("nw"))))
-    near = near.withColumn("edits", F.levenshtein("w", "good")).filter(F.col("edits") <= 2)
-    return near.groupBy("w").agg(F.min_by("good", F.struct(~F.col("is_known"), F.col("edits"), -F.col("ng"), F.col("good"))).alias("good"))
-
-
 def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import addresses, bpe, packing
+from attesta.llm import addresses, bpe, names, packing
 from attesta.sources.durable import durable
 from attesta.sources.tables import table
 
@@ -15,6 +15,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address_records(table(spark, d, "registry"), table(spark, d, "barangays"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_records(table(spark, d, "registry"), table(spark, d, "given_names"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), bpe.vocabulary_path(spark))
 
@@ -42,5 +46,5 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [packing.pack(sizes, c, n).withColumn("container_kind", F.lit(k)) for k, c in sorted(_capacities(spark, d).items())])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_found, p7_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found, p7_containers)}
 SQL: dict[str, str] = {}
