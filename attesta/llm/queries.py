@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import addresses, bpe, names, packing
+from attesta.llm import addresses, bpe, language, names, packing
 from attesta.sources.durable import durable
 from attesta.sources.tables import table
 
@@ -46,5 +46,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [packing.pack(sizes, c, n).withColumn("container_kind", F.lit(k)) for k, c in sorted(_capacities(spark, d).items())])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found, p7_containers)}
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents"), table(spark, d, "language_names"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_cases(p8_segments(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
 SQL: dict[str, str] = {}
