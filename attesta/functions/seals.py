@@ -14,7 +14,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from attesta.functions.text import canonicalize, text
+from attesta.functions.text import canonicalize, once, text
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -26,9 +26,8 @@ def page_digest(body: Column) -> Column:
 
 def base32_of_hex(hexa: Column, letters: int) -> Column:
     """K2: the first `letters` base32 signs (without padding) of bytes given in hexadecimal; up to 8 letters, 40 bits."""
-    bits = F.conv(F.substring(hexa, 1, 10), 16, 10).cast("bigint")
-    sign = lambda i: F.substring(F.lit(ALPHABET), F.shiftright(bits, 35 - 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-    return F.concat(*[sign(i) for i in range(letters)])
+    sign = lambda bits, i: F.substring(F.lit(ALPHABET), F.shiftright(bits, 35 - 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
+    return once(F.conv(F.substring(hexa, 1, 10), 16, 10).cast("bigint"), lambda bits: F.concat(*[sign(bits, i) for i in range(letters)]))
 
 
 def pads(secret: str) -> tuple[bytes, bytes]:
@@ -51,8 +50,8 @@ def seal(keys: Mapping[str, str], kid: Column, no: Column, k: Column, n: Column,
     """K3: XXXX-XXXX under the key that `kid` names; null for an unknown key (K5)."""
     out = F.lit(None).cast("string")
     for name, secret in keys.items():
-        s = base32_of_hex(hmac_sha256(secret, message(no, k, n, digest)), 8)
-        out = F.when(kid == name, F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, 4))).otherwise(out)
+        s = once(base32_of_hex(hmac_sha256(secret, message(no, k, n, digest)), 8), lambda x: F.concat(F.substring(x, 1, 4), F.lit("-"), F.substring(x, 5, 4)))
+        out = F.when(kid == name, s).otherwise(out)
     return out
 
 

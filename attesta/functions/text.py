@@ -6,6 +6,8 @@ ASCII. Every function takes and returns Columns; null input counts as the empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The white space that collapses, the printed seal line, and what recognition confuses.
@@ -21,6 +23,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(c)` with `c` computed once, however often `use` names it; it also keeps plans small where functions nest."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(text(c), rf"^{WS}+|{WS}+\z", "")
 
@@ -90,8 +97,12 @@ def strip_seal_lines(c: Column) -> Column:
 
 def parse_seal_line(c: Column) -> Column:
     """STRUCT(iis_no, k, n, kid, seal) of the first seal line, or null."""
-    g = lambda i: F.regexp_extract(text(c), SEAL_LINE, i)
-    return F.when(text(c).rlike(SEAL_LINE), F.struct(g(1).alias("iis_no"), F.try_to_number(g(2), F.lit("999999999")).cast("int").alias("k"), F.try_to_number(g(3), F.lit("999999999")).cast("int").alias("n"), g(4).alias("kid"), g(5).alias("seal")))
+    def parts(s: Column) -> Column:
+        g = lambda i: F.regexp_extract(s, SEAL_LINE, i)
+        number = lambda i: g(i).try_cast("int")
+        return F.when(s != "", F.struct(g(1).alias("iis_no"), number(2).alias("k"), number(3).alias("n"), g(4).alias("kid"), g(5).alias("seal")))
+
+    return once(F.regexp_extract(text(c), SEAL_LINE, 0), parts)
 
 
 PAYLOAD = r"(?i)^CVR\|([^|]+)\|([0-9]+)\|([0-9A-Za-z-]+)"
