@@ -41,7 +41,8 @@ def merge_batch(documents: DataFrame, batch: DataFrame, order: Sequence[Column],
     """
     rows = batch.withColumn("iis_no", js_trim(F.col("iis_no"))).filter("iis_no <> ''")
     first = rows.groupBy("iis_no").agg(F.min("at").alias("_first"))
-    new = keep_last(rows.select("iis_no", "at", *ATTRIBUTES), ["iis_no"], order).join(first, "iis_no").select("iis_no", F.lit(True).alias("_new"), "_first", F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ATTRIBUTES])
+    ranked = rows.select("iis_no", "at", *ATTRIBUTES, *[o.alias(f"_k{i}") for i, o in enumerate(order)])
+    new = keep_last(ranked, ["iis_no"], [F.col(f"_k{i}") for i in range(len(order))]).join(first, "iis_no").select("iis_no", F.lit(True).alias("_new"), "_first", F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ATTRIBUTES])
     both = documents.join(new, "iis_no", "full_outer")
     fresh, known = F.coalesce("_new", F.lit(False)), F.col("source").isNotNull()
     source = F.when(fresh & F.lit(live), "iis_live").otherwise(F.coalesce("source", F.lit("excel")))
