@@ -27,7 +27,7 @@ NOISE = ("brgy", "bgy", "bo", "barangay", "city", "town", "municipality", "of",
 UNIT = r"\b(unit|rm|room|stall|suite|door|apt)\b\.?\s*(no\b\.?)?\s*#?\s*([0-9]+(\s?-\s?[a-z]\b|[a-z]\b)?|[a-z]\b)|\b(ground|upper|lower|[0-9]+(st|nd|rd|th))\s+(floor|flr|fl)\b\.?|\b[0-9]+\s?/\s?f\b|\b(floor|flr)\s*[0-9]+\b"
 LOT, BLOCK = r"\b(?:lot|l)\b?\.?\s*#?([0-9]+)\b", r"\b(?:block|blk|b)\b?\.?\s*#?([0-9]+)\b"
 
-#: Share of the weight of the words that both forms' parts have in common.
+#: Share of the weight of the words that the forms have in common; a word with a counterpart within EDITS counts half.
 LEAST_OVERLAP = 0.55
 EDITS = 2
 
@@ -110,8 +110,8 @@ def same_places(forms_: DataFrame) -> DataFrame:
     near = lambda x, ys: F.exists(ys, lambda y: F.levenshtein(x, y) <= EDITS)
     weight = lambda ws, side: F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.coalesce(col(f"{side}.weights")[w], F.lit(0.0)))
     common = weight(F.array_intersect("a.all", "b.all"), "a")
-    whole = common + F.greatest(weight(only_a, "a"), weight(only_b, "b"))
-    pair = pair.filter(F.forall(only_a, lambda x: near(x, only_b)) & F.forall(only_b, lambda x: near(x, only_a)) & (common >= LEAST_OVERLAP * whole))
+    left_over = F.greatest(weight(only_a, "a"), weight(only_b, "b"))  # each of these has to have a counterpart, and counts half
+    pair = pair.filter(F.forall(only_a, lambda x: near(x, only_b)) & F.forall(only_b, lambda x: near(x, only_a)) & (common + 0.5 * left_over >= LEAST_OVERLAP * (common + left_over)))
     return pair.select(col("a.form").alias("a"), col("b.form").alias("b"), col("a.barangay").alias("ba"), col("b.barangay").alias("bb"))
 
 

@@ -46,7 +46,7 @@ def sentences(text: str | None) -> list[str]:
         return []
     t = _GOODS.sub(" ", _LINK.sub(" ", _TAG.sub("\n", _UNSEEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))))
     t = _SOFT.sub(" ", t)
-    return [s for s in (re.sub(r"\s+", " ", x).strip() for x in _END.split(t)) if s and any(c.isalpha() for c in s)]
+    return [s for s in (re.sub(r"\s+", " ", x).strip(" /|-–—") for x in _END.split(t)) if s and any(c.isalpha() for c in s)]
 
 
 def windows(s: str) -> np.ndarray:
