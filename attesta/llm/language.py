@@ -27,6 +27,8 @@ WIDTHS = ((2, 24), (3, 40), (4, 40), (5, 32))
 #: Labelled documents for each language, and sentences for each language, that the network is fitted on at most.
 TRAIN_DOCS, TRAIN_SENTENCES = 700, 1600
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 11
+#: Steps of a fit at least, however small the sample.
+LEAST_STEPS = 300
 #: Cost of a change of language, in nats, and the most that one sentence can say for a language against another.
 SWITCH, MOST = 1.0, 14.0
 #: Distinct sentences that are scored together.
@@ -93,6 +95,7 @@ class ByteNet:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> "ByteNet":
         rng = np.random.default_rng(SEED)
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(x) // BATCH)))
         params = [*self.filters, *self.bias, self.out, self.out_bias]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for epoch in range(epochs):
