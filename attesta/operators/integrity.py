@@ -90,3 +90,39 @@ def document_report(pages: DataFrame, documents: DataFrame) -> DataFrame:
     label = F.create_map(*[F.lit(x) for p in PAGE_LABELS.items() for x in p])
     d = documents.select("doc_id", F.initcap("status").alias("stamp"), F.concat_ws(" of ", F.col("actual_pages").cast("string"), F.concat(F.coalesce(F.col("claimed_pages").cast("string"), F.lit("?")), F.lit(" pages"))).alias("extent"))
     return pages.join(d, "doc_id").select("doc_id", "position", label[F.col("status")].alias("label"), "stamp", "extent")
+
+
+def seal_request_errors(requests: DataFrame) -> DataFrame:
+    """F8 for sealing: requests (req_id, has_file, iis_no, at) with `error` (null for a good one) and the position x0, y0.
+
+    `at` is JSON {x0, y0}; text that is no JSON is an error, a position without two finite numbers counts as none.
+    """
+    at = F.from_json(F.col("at"), "x0 double, y0 double, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    r = requests.withColumn("_p", at)
+    ok = F.coalesce(finite(F.col("_p.x0")) & finite(F.col("_p.y0")), F.lit(False))
+    error = (
+        F.when(~F.coalesce("has_file", F.lit(False)), "No file uploaded.").when(F.trim(text(F.col("iis_no"))) == "", "iisNo is required.")
+        .when((text(F.col("at")) != "") & F.col("_p._bad").isNotNull() & ~text(F.col("at")).rlike(r"^\s*\{.*\}\s*$"), "Bad seal position.")
+    )
+    return r.select("req_id", error.alias("error"), F.when(error.isNull() & ok, F.col("_p.x0")).alias("x0"), F.when(error.isNull() & ok, F.col("_p.y0")).alias("y0"))
+
+
+def image_request_errors(requests: DataFrame) -> DataFrame:
+    """F8 for photographs: requests (req_id, has_file, doc, k TEXT) with `error`, null for a good one."""
+    k = text(F.col("k")).try_cast("double")
+    bad = (F.trim(text(F.col("doc"))) == "") | k.isNull() | F.isnan(k) | (k < 1) | (F.abs(k) == float("inf"))
+    return requests.select("req_id", F.when(~F.coalesce("has_file", F.lit(False)), "No image uploaded.").when(bad, "Need the control number and page number.").alias("error"))
+
+
+def sealed_pages(page_texts: DataFrame, keys: Mapping[str, str], kid: str) -> DataFrame:
+    """Sealing: pages (iis_no, page_no, total_pages, digest, seal, kid, footer, payload) of documents (iis_no, page_no, text).
+
+    The digest is that of the text without seal lines, so sealing again changes nothing; total_pages is the document's count.
+    """
+    from attesta.functions.text import payload, seal_line
+
+    n = page_texts.groupBy("iis_no").agg(F.count("*").cast("int").alias("total_pages"))
+    p = page_texts.join(n, "iis_no").withColumn("digest", page_digest(strip_seal_lines(F.col("text")))).withColumn("kid", F.lit(kid))
+    p = p.withColumn("seal", seal(keys, F.col("kid"), F.col("iis_no"), F.col("page_no"), F.col("total_pages"), F.col("digest")))
+    return p.select("iis_no", "page_no", "total_pages", "digest", "seal", "kid", seal_line(F.col("iis_no"), F.col("page_no"), F.col("total_pages"), F.col("kid"), F.col("seal")).alias("footer"), payload(F.col("iis_no"), F.col("page_no"), F.col("seal")).alias("payload"))

@@ -59,3 +59,17 @@ def otsu(pixels: DataFrame, image: str = "image_id") -> DataFrame:
     wf = F.col("n") - F.col("wb")
     between = F.when(wf > 0, F.round(F.col("wb").cast("double") * wf * F.pow(F.col("sb") / F.col("wb") - (F.col("t") - F.col("sb")) / F.nullif(wf, F.lit(0)), 2), 3)).otherwise(0.0)
     return r.groupBy(image).agg(F.max_by("v", F.struct(between, -F.col("v"))).alias("threshold"))
+
+
+def local_levels(pixels: DataFrame, radius: int, bias: float, image: str = "image_id") -> DataFrame:
+    """A11 in Catalyst: for each pixel the mean of the box around it, cut at the edges, less `bias`: running sums along rows, then columns."""
+    row = Window.partitionBy(image, "y").orderBy("x").rangeBetween(-radius, radius)
+    col = Window.partitionBy(image, "x").orderBy("y").rangeBetween(-radius, radius)
+    r = pixels.withColumn("_s", F.sum("v").over(row)).withColumn("_n", F.count("v").over(row))
+    return r.withColumn("level", F.sum("_s").over(col) / F.sum("_n").over(col) - bias).drop("_s", "_n")
+
+
+def cropped(pixels: DataFrame, boxes: DataFrame, image: str = "image_id") -> DataFrame:
+    """The pixels inside the box (x0, y0, x1, y1, edges included) of each image, counted from its corner."""
+    b = pixels.join(boxes, image).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    return b.select(image, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "v")

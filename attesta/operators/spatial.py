@@ -132,30 +132,40 @@ def blocked_text(fit: DataFrame) -> DataFrame:
     return fit.filter(~F.col("clear")).select("doc_id", "page_no", F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), parts).alias("detail"))
 
 
-def clear_spots(boxes: DataFrame, pages: DataFrame, line: str = SAMPLE_LINE) -> DataFrame:
-    """Per document the place for the block nearest to its usual corner that is clear on all its pages.
-
-    (doc_id, found, x0, y0, moved_by, tried). Places form a grid over the first page; a place drops out if any box but a rule
-    overlaps the mark with its quiet zone or the line. Of equals the first from the bottom, then from the left. The grid is
-    laid with equi-joins per document: places x boxes of that document, in blocks of rows.
-    """
+def grid_spots(pages: DataFrame, line: str = SAMPLE_LINE) -> DataFrame:
+    """(doc_id, x0, y0, hx, hy): the places for the block on a grid over a document's first page, with its usual corner."""
     w, h = block_size(line)
-    size = seal_size()
     first = pages.groupBy("doc_id").agg(F.min_by(F.struct("page_w", "page_h"), "page_no").alias("p")).select("doc_id", "p.*")
     axis = lambda room, need: F.when(room - EDGE - need >= EDGE, F.sequence(F.lit(0), F.floor((room - 2 * EDGE - need) / STEP).cast("int")))
     spots = first.withColumn("_y", F.explode(axis(F.col("page_h"), h))).withColumn("_x", F.explode(axis(F.col("page_w"), w)))
-    spots = spots.select("doc_id", (F.lit(EDGE) + F.col("_x") * STEP).cast("double").alias("x0"), (F.lit(EDGE) + F.col("_y") * STEP).cast("double").alias("y0"), (F.col("page_w") - MARGIN - w).alias("hx"), F.lit(float(BASELINE - GAP - LINE_SIZE)).alias("hy"))
+    return spots.select("doc_id", (F.lit(EDGE) + F.col("_x") * STEP).cast("double").alias("x0"), (F.lit(EDGE) + F.col("_y") * STEP).cast("double").alias("y0"), (F.col("page_w") - MARGIN - w).alias("hx"), F.lit(float(BASELINE - GAP - LINE_SIZE)).alias("hy"))
+
+
+def free_spots(boxes: DataFrame, spots: DataFrame, line: str = SAMPLE_LINE) -> DataFrame:
+    """The places where no box of any page of the document, rules aside, overlaps the mark with its quiet zone or the line.
+
+    An anti join on the document with the overlaps as residual condition: each place meets the boxes of its own document only.
+    """
+    w, size = block_size(line)[0], seal_size()
     blocking = boxes.filter((F.col("kind") != "graphic") | ~F.col("rule")).select("doc_id", "x0", "y0", "x1", "y1")
     s, b = F.col, lambda n: F.col(f"b.{n}")
     mark_x, mark_y = s("s.x0") + (w - size), s("s.y0") + (GAP + LINE_SIZE)
     hits = lambda x0, y0, x1, y1: (b("x0") < x1 - TOUCH) & (b("x1") > x0 + TOUCH) & (b("y0") < y1 - TOUCH) & (b("y1") > y0 + TOUCH)
     room = hits(mark_x - QUIET, mark_y - QUIET, mark_x + size + QUIET, mark_y + size + QUIET)
     under = hits(s("s.x0"), s("s.y0"), s("s.x0") + w, s("s.y0") + LINE_SIZE)
-    free = spots.alias("s").join(blocking.alias("b"), (s("s.doc_id") == b("doc_id")) & (room | under), "left_anti")
+    return spots.alias("s").join(blocking.alias("b"), (s("s.doc_id") == b("doc_id")) & (room | under), "left_anti")
+
+
+def clear_spots(boxes: DataFrame, pages: DataFrame, line: str = SAMPLE_LINE) -> DataFrame:
+    """Per document the free place nearest to the block's usual corner: (doc_id, found, x0, y0, moved_by, tried).
+
+    Of equals the first from the bottom, then from the left.
+    """
+    spots = grid_spots(pages, line)
     d = F.hypot(F.col("x0") - F.col("hx"), F.col("y0") - F.col("hy"))
-    best = free.groupBy("doc_id").agg(F.min(F.struct(d.alias("d"), "y0", "x0")).alias("m"))
+    best = free_spots(boxes, spots, line).groupBy("doc_id").agg(F.min(F.struct(d.alias("d"), "y0", "x0")).alias("m"))
     tried = spots.groupBy("doc_id").agg(F.count("*").alias("tried"))
-    return first.select("doc_id").join(tried, "doc_id", "left").join(best, "doc_id", "left").select("doc_id", F.col("m").isNotNull().alias("found"), "m.x0", "m.y0", F.floor(F.col("m.d") + 0.5).cast("int").alias("moved_by"), F.coalesce("tried", F.lit(0)).alias("tried"))
+    return pages.select("doc_id").distinct().join(tried, "doc_id", "left").join(best, "doc_id", "left").select("doc_id", F.col("m").isNotNull().alias("found"), "m.x0", "m.y0", F.floor(F.col("m.d") + 0.5).cast("int").alias("moved_by"), F.coalesce("tried", F.lit(0)).alias("tried"))
 
 
 def cover_crop(frame_w: Column, frame_h: Column, box_w: Column, box_h: Column) -> Column:

@@ -219,11 +219,17 @@ def rasterize(tiles: np.ndarray, px: int = 512, quiet: float = 0.08) -> np.ndarr
     return img
 
 
+@lru_cache
+def _rects(n: int, px: int) -> list[list[str]]:
+    s = px / n
+    return [[f'<rect x="{c * s:.2f}" y="{r * s:.2f}" width="{s + 0.35:.2f}" height="{s + 0.35:.2f}" fill="#111"/>' for c in range(n)] for r in range(n)]
+
+
 def svg(tiles: np.ndarray, px: int = 512) -> str:
     """The tiles as rectangles."""
-    s = px / len(tiles)
-    rects = "".join(f'<rect x="{c * s:.2f}" y="{r * s:.2f}" width="{s + 0.35:.2f}" height="{s + 0.35:.2f}" fill="#111"/>' for r, c in np.argwhere(tiles))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {px} {px}" width="{px}" height="{px}"><rect width="{px}" height="{px}" fill="#fff"/>{rects}</svg>'
+    rects = _rects(len(tiles), px)
+    inked = "".join(rects[r][c] for r, c in np.argwhere(tiles).tolist())
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {px} {px}" width="{px}" height="{px}"><rect width="{px}" height="{px}" fill="#fff"/>{inked}</svg>'
 
 
 # --- K12: reading an image ---
@@ -455,6 +461,18 @@ def raster_udf(rows: tuple[str, ...] | None = None, px: int = 220):
     return run
 
 
+def svg_udf(rows: tuple[str, ...] | None = None, px: int = 512):
+    """Payloads as SVG."""
+    rows = rows or disc()
+
+    @F.pandas_udf(_S)
+    def run(payload: pd.Series) -> pd.Series:
+        made = (tiles_for(p, artwork(rows)) for p in payload)
+        return pd.Series([None if x is None else svg(x, px) for x in made], dtype=object)
+
+    return run
+
+
 def decode_images(images: DataFrame, rows: tuple[str, ...] | None = None) -> DataFrame:
     """K12 over (image_id, width, height, gray): (image_id, payload); a task reads its images one by one, null where none is found."""
     rows = rows or disc()

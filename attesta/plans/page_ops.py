@@ -114,7 +114,7 @@ def items(spark, d, photo):
 
 def _tokens_of(cls):
     def run(spark, d):
-        return k.page_tokens(auth_pages(spark, d)).filter(F.col("cls") == cls).select("pair_id", "seq", "line", "value", "label", "number", "match_key")
+        return k.page_tokens(auth_pages(spark, d)).filter(F.col("cls") == cls).select("pair_id", "line", "value", F.coalesce("label", "number", F.lit("")).alias("mark"))
 
     return run
 
@@ -296,6 +296,21 @@ def ref_a14_clear_spot(spark, d):
     return s.clear_spots(b, sizes).select("doc_id", "found", F.coalesce("x0", F.lit(-1.0)).alias("x0"), F.coalesce("y0", F.lit(-1.0)).alias("y0"), F.coalesce("moved_by", F.lit(-1)).alias("moved_by"), "tried")
 
 
+def ref_j10_free_spots(spark, d):
+    b = part_boxes(spark, d)
+    sizes = b.select("doc_id", "page_no").distinct().withColumn("page_w", F.lit(595.0)).withColumn("page_h", F.lit(842.0))
+    return s.free_spots(b, s.grid_spots(sizes)).select("doc_id", "x0", "y0")
+
+
+def ref_a11_local_levels(spark, d):
+    return q.local_levels(pixels(spark, d), 3, 6.0).select("image_id", "x", "y", F.round("level", 4).alias("level"))
+
+
+def ref_k16_crop(spark, d):
+    box = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(5).alias("x0"), (F.col("s_suppkey") % 7).cast("int").alias("y0"), F.lit(12).alias("x1"), F.lit(11).alias("y1"))
+    return q.cropped(pixels(spark, d), box)
+
+
 def ref_p28_cover_crop(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 20).alias("fw"), (F.col("p_partkey") % 900 + 100).alias("fh"), (F.col("p_partkey") % 7 * 50).alias("bw"), F.lit(200).alias("bh"))
     return p.select("p_partkey", s.cover_crop(F.col("fw"), F.col("fh"), F.col("bw"), F.col("bh")).alias("c")).select("p_partkey", *[F.round(f"c.{n}", 4).alias(n) for n in ("sx", "sy", "sw", "sh")])
@@ -385,6 +400,18 @@ SQL = {
       free AS (SELECT * FROM sp s WHERE NOT EXISTS (SELECT 1 FROM ({SQL_PART}) b WHERE b.doc_id = s.doc_id AND (kind <> 'graphic' OR NOT rule) AND (({_meet(f'(s.x0 + {_W - _SIZE} - {s.QUIET})', f'(s.y0 + {s.GAP + s.LINE_SIZE} - {s.QUIET})', f'(s.x0 + {_W} + {s.QUIET})', f'(s.y0 + {_H} + {s.QUIET})')}) OR ({_meet('s.x0', 's.y0', f'(s.x0 + {_W})', f'(s.y0 + {s.LINE_SIZE})')})))),
       best AS (SELECT doc_id, unnest(min({{d: sqrt((x0 - {595 - s.MARGIN - _W}) * (x0 - {595 - s.MARGIN - _W}) + (y0 - {_Y}) * (y0 - {_Y})), y0: y0, x0: x0}})) FROM free GROUP BY 1)
       SELECT t.doc_id, d IS NOT NULL AS found, coalesce(x0, -1.0) AS x0, coalesce(y0, -1.0) AS y0, coalesce(CAST(floor(d + 0.5) AS INTEGER), -1) AS moved_by, tried FROM (SELECT doc_id, count(*) AS tried FROM sp GROUP BY 1) t LEFT JOIN best ON best.doc_id = t.doc_id""",
+    "ref_j10_free_spots": f"""WITH docs AS (SELECT DISTINCT doc_id FROM ({SQL_PART})), sp AS (SELECT doc_id, CAST({s.EDGE} + i * {s.STEP} AS DOUBLE) AS x0, CAST({s.EDGE} + j * {s.STEP} AS DOUBLE) AS y0 FROM docs, (SELECT unnest(range(0, CAST(floor((595.0 - {2 * s.EDGE} - {_W}) / {s.STEP}) AS BIGINT) + 1)) AS i), (SELECT unnest(range(0, CAST(floor((842.0 - {2 * s.EDGE} - {_H}) / {s.STEP}) AS BIGINT) + 1)) AS j)),
+      free AS (SELECT * FROM sp s WHERE NOT EXISTS (SELECT 1 FROM ({SQL_PART}) b WHERE b.doc_id = s.doc_id AND (kind <> 'graphic' OR NOT rule) AND (({_meet(f'(s.x0 + {_W - _SIZE} - {s.QUIET})', f'(s.y0 + {s.GAP + s.LINE_SIZE} - {s.QUIET})', f'(s.x0 + {_W} + {s.QUIET})', f'(s.y0 + {_H} + {s.QUIET})')}) OR ({_meet('s.x0', 's.y0', f'(s.x0 + {_W})', f'(s.y0 + {s.LINE_SIZE})')})))) SELECT doc_id, x0, y0 FROM free""",
+    "ref_a11_local_levels": f"""SELECT image_id, x, y, round(sum(s) OVER c / CAST(sum(n) OVER c AS DOUBLE) - 6.0, 4) AS level FROM (SELECT image_id, x, y, sum(v) OVER r AS s, count(*) OVER r AS n FROM ({SQL_PIXELS}) WINDOW r AS (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+      WINDOW c AS (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
+    "ref_k16_crop": f"SELECT image_id, CAST(x - 5 AS INTEGER) AS x, CAST(y - image_id % 7 AS INTEGER) AS y, v FROM ({SQL_PIXELS}) WHERE x BETWEEN 5 AND 12 AND y BETWEEN image_id % 7 AND 11",
+    "ref_e1_list_items": "SELECT load_no || '/' || row_no AS pair_id, l AS line, CASE l WHEN 6 THEN trim('First item of the list for ' || " + x.canon("lower(coalesce(trim(transaction_type), 'none'))") + ") ELSE 'Second item of the list' END AS value, '' AS mark FROM registry, (SELECT unnest([6, 7]) AS l)",
+    "ref_e2_numbered_items": "SELECT load_no || '/' || row_no AS pair_id, 8 AS line, 'Keep the copy' AS value, '1' AS mark FROM registry",
+    "ref_e3_money": "SELECT load_no || '/' || row_no AS pair_id, 5 AS line, '₱' || format('{:,}', CAST(row_no AS BIGINT) * 1234 + load_no) || '.00' AS value, '' AS mark FROM registry",
+    "ref_e6_references": "SELECT load_no || '/' || row_no AS pair_id, 4 AS line, regexp_extract(trim(iis_no), '\\bR1-[0-9]{4}-[0-9]{6}\\b', 0) AS value, '' AS mark FROM registry WHERE regexp_matches(trim(iis_no), '\\bR1-[0-9]{4}-[0-9]{6}\\b') UNION ALL SELECT load_no || '/' || row_no, 4, 'No. 25-0123', '' FROM registry",
+    "ref_e7_citations": "SELECT load_no || '/' || row_no AS pair_id, 5 AS line, v AS value, '' AS mark FROM registry, (SELECT unnest(['Section IV', 'Rule 12']) AS v)",
+    "ref_e10_signatory_title": "SELECT load_no || '/' || row_no AS pair_id, 10 AS line, 'Regional Director of Records' AS value, '' AS mark FROM registry",
+    "ref_e9_fields": f"SELECT * FROM (SELECT load_no || '/' || row_no AS pair_id, l AS line, {x.canon("CASE l WHEN 2 THEN coalesce(trim(subject_name), 'none') ELSE coalesce(trim(company_name), 'none') END")} AS value, CASE l WHEN 2 THEN 'Subject' ELSE 'Company Name' END AS mark FROM registry, (SELECT unnest([2, 3]) AS l)) WHERE value <> '' AND NOT regexp_matches(value, '" + k.SHAPES["name"].pattern.replace("'", "''") + "')",
     "ref_p28_cover_crop": """SELECT p_partkey, round((fw - sw) / 2, 4) AS sx, round((fh - sh) / 2, 4) AS sy, round(sw, 4) AS sw, round(sh, 4) AS sh FROM (SELECT *, CASE WHEN bw = 0 OR fw * 200 <= fh * bw THEN fw ELSE fh * bw / 200 END AS sw, CASE WHEN bw = 0 OR fw * 200 > fh * bw THEN fh ELSE fw * 200 / bw END AS sh
       FROM (SELECT p_partkey, CAST(p_size * 20 AS DOUBLE) AS fw, CAST(p_partkey % 900 + 100 AS DOUBLE) AS fh, CAST(p_partkey % 7 * 50 AS DOUBLE) AS bw FROM part))""",
     "ref_a9_blur": f"SELECT image_id, round(coalesce(var_pop(lap), 0), 4) AS variance FROM ({_LAP}) GROUP BY 1",

@@ -206,6 +206,36 @@ def ref_p32_page_states(spark, d):
     return ref_f2_page_verdicts(spark, d).groupBy("status").agg(F.count("*").alias("n")).withColumn("stamp", F.coalesce(label[F.col("status")], F.lit("Unknown key")))
 
 
+def ref_s4_single_page(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.floor(F.col("doc_id") / 4).cast("bigint").alias("doc"), (F.col("doc_id") % 4 + 1).alias("page_no"), t.canonicalize(F.col("text")).alias("text")).filter("page_no = 2").select("doc", "text")
+
+
+def ref_seal_pages(spark, d):
+    """POST /api/seal as a table function: the corpus as documents of up to four pages, sealed."""
+    docs = table(spark, d, "documents")
+    pages = docs.select(F.format_string("R1-2026-%06d", F.floor(F.col("doc_id") / 4).cast("bigint")).alias("iis_no"), (F.col("doc_id") % 4 + 1).cast("int").alias("page_no"), "text")
+    return i.sealed_pages(pages, x.KEYS, "1").select("iis_no", "page_no", F.col("total_pages").cast("bigint").alias("total_pages"), "digest", "seal", "footer", "payload")
+
+
+def seal_requests(spark, d):
+    g, n = table(spark, d, "registry"), F.col("row_no")
+    at = F.when(n % 5 == 0, F.concat(F.lit('{"x0": '), n.cast("string"), F.lit(', "y0": 30.5}'))).when(n % 5 == 1, "not json").when(n % 5 == 2, '{"x0": 1}').when(n % 5 == 3, "")
+    return g.select(F.concat_ws("/", "load_no", "row_no").alias("req_id"), (n % 11 != 0).alias("has_file"), "iis_no", at.alias("at"))
+
+
+def ref_f8_seal_requests(spark, d):
+    v = i.seal_request_errors(seal_requests(spark, d))
+    return v.select("req_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("x0", F.lit(-1.0)).alias("x0"), F.coalesce("y0", F.lit(-1.0)).alias("y0"))
+
+
+def ref_f8_image_requests(spark, d):
+    g, n = table(spark, d, "registry"), F.col("row_no")
+    k = F.when(n % 6 == 0, "0").when(n % 6 == 1, "x").when(n % 6 == 2, "3").when(n % 6 == 3, "2.5").when(n % 6 == 4, "-1")
+    req = g.select(F.concat_ws("/", "load_no", "row_no").alias("req_id"), (n % 11 != 0).alias("has_file"), F.col("iis_no").alias("doc"), k.alias("k"))
+    return i.image_request_errors(req).select("req_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("ref_") and callable(f)}
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -268,4 +298,11 @@ SQL = {
     "ref_w1_documents": f"WITH {_HEAD} SELECT head.doc_id, coalesce(doc_no, '') AS iis_no, coalesce(doc_n, 0) AS claimed_pages, actual AS actual_pages, coalesce(c, 0) AS n_findings, CASE WHEN coalesce(c, 0) = 0 AND sealed = actual THEN 'intact' ELSE 'tampered' END AS status FROM head LEFT JOIN (SELECT doc_id, count(*) AS c FROM f GROUP BY 1) q ON q.doc_id = head.doc_id",
     "ref_p31_document_report": f"""WITH {_HEAD} SELECT st.doc_id, position, CASE status {_LABEL} END AS label, CASE WHEN q.doc_id IS NULL AND sealed = actual THEN 'Intact' ELSE 'Tampered' END AS stamp, actual || ' of ' || coalesce(CAST(doc_n AS VARCHAR), '?') || ' pages' AS extent
       FROM st JOIN head ON head.doc_id = st.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM f) q ON q.doc_id = st.doc_id""",
+    "ref_s4_single_page": f"SELECT doc_id // 4 AS doc, {x.canon('text')} AS text FROM documents WHERE doc_id % 4 = 1",
+    "ref_seal_pages": f"""WITH p AS (SELECT printf('R1-2026-%06d', doc_id // 4) AS iis_no, CAST(doc_id % 4 + 1 AS INTEGER) AS page_no, sha256({x.strip('text')}) AS digest, count(*) OVER (PARTITION BY doc_id // 4) AS total_pages FROM documents),
+      s AS (SELECT *, {x.sql_seal(x.sql_hmac(x.KEYS['1'], "concat_ws('|', iis_no, page_no, total_pages, digest)"))} AS seal FROM p)
+      SELECT iis_no, page_no, total_pages, digest, seal, concat_ws(' · ', 'EMB', iis_no, 'p' || page_no || '/' || total_pages, 'K1', seal) AS footer, concat_ws('|', 'CVR', iis_no, page_no, seal) AS payload FROM s""",
+    "ref_f8_seal_requests": """SELECT load_no || '/' || row_no AS req_id, e AS error, CASE WHEN e = '' AND row_no % 5 = 0 THEN CAST(row_no AS DOUBLE) ELSE -1.0 END AS x0, CASE WHEN e = '' AND row_no % 5 = 0 THEN CAST(30.5 AS DOUBLE) ELSE -1.0 END AS y0
+      FROM (SELECT *, CASE WHEN row_no % 11 = 0 THEN 'No file uploaded.' WHEN coalesce(trim(iis_no), '') = '' THEN 'iisNo is required.' WHEN row_no % 5 = 1 THEN 'Bad seal position.' ELSE '' END AS e FROM registry)""",
+    "ref_f8_image_requests": "SELECT load_no || '/' || row_no AS req_id, CASE WHEN row_no % 11 = 0 THEN 'No image uploaded.' WHEN coalesce(trim(iis_no), '') = '' OR row_no % 6 NOT IN (2, 3) THEN 'Need the control number and page number.' ELSE '' END AS error FROM registry",
 }

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
+from attesta.operators.symbol import raster_udf
 from attesta.plans import registry_ops as r
 from attesta.sources.sheet import registry_sheet
 from attesta.sources.tables import table
@@ -70,6 +71,14 @@ def _live_records(spark, d):
     return rows.groupBy("iis_no").agg(*[F.max(c).alias(c) for c in r.r.ATTRIBUTES])
 
 
+def ref_t5_frame_stream(spark, d):
+    """Frames of a camera as a stream: the pictures of the removed records' symbols, and what each shows."""
+    g = table(spark, d, "registry_removals").select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("no")).filter("no <> ''").distinct()
+    img = g.select(F.concat_ws("|", F.lit("CVR"), "no", F.lit("2"), F.lit("BDIN-YZNT")).alias("image_id")).withColumn("gray", raster_udf()("image_id"))
+    side = F.sqrt(F.length("gray")).cast("int")
+    return _streamed(spark, img.select("image_id", side.alias("width"), side.alias("height"), "gray"), s.frame_payloads)
+
+
 def write_sheet(path: str, rows: list[tuple]) -> None:
     """A small workbook with inline strings, as a fixture."""
     letters = "ABCDEFG"
@@ -97,6 +106,7 @@ _PACE = """WITH c AS (SELECT DISTINCT event_type AS source, event_id AS req_id,
   SELECT source, req_id, arrival_ms, CAST(max(arrival_ms - i) OVER (PARTITION BY source ORDER BY arrival_ms, req_id ROWS UNBOUNDED PRECEDING) + i AS BIGINT) AS scheduled_ms FROM i"""
 
 SQL = {
+    "ref_t5_frame_stream": "SELECT DISTINCT 'CVR|' || no || '|2|BDIN-YZNT' AS image_id, 'CVR|' || no || '|2|BDIN-YZNT' AS payload FROM (SELECT regexp_extract(upper(iis_no), 'R1-[0-9]{4}-[0-9]{4,}', 0) AS no FROM registry_removals) WHERE no <> ''",
     "ref_t1_paced": _PACE,
     "ref_t1_paced_state": _PACE,
     "ref_t3_stream_log": r.SQL["ref_t2_backfill"],

@@ -39,6 +39,11 @@ def ref_k11_tiles(spark, d):
     return t.select("payload", F.length(F.replace("tiles", F.lit("0"), F.lit(""))).alias("inked"), (s.read_tiles_udf()("tiles") == F.col("payload")).alias("same"))
 
 
+def ref_s11_svg(spark, d):
+    v = payloads(spark, d).withColumn("svg", s.svg_udf()("payload")).filter("svg IS NOT NULL")
+    return v.select("payload", F.md5("svg").alias("md5"), F.size(F.split("svg", "<rect ")).alias("rects"))
+
+
 def ref_k12_decode(spark, d):
     """Pictures of the symbols of the removed records' numbers, read again."""
     g = table(spark, d, "registry_removals").select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("no")).filter("no <> ''").distinct()
@@ -69,6 +74,7 @@ _BASE = f"""SELECT *, ink AND coalesce(lag(ink) OVER a, false) AND coalesce(lead
   WINDOW a AS (PARTITION BY image_id, r ORDER BY col), b AS (PARTITION BY image_id, col ORDER BY r)"""
 
 SQL = {
+    "ref_k12_decode": "SELECT DISTINCT 'CVR|' || no || '|1|PP64-QXA6' AS image_id, 'CVR|' || no || '|1|PP64-QXA6' AS payload, true AS same FROM (SELECT regexp_extract(upper(iis_no), 'R1-[0-9]{4}-[0-9]{4,}', 0) AS no FROM registry_removals) WHERE no <> ''",
     "ref_k6_pack": f"""SELECT payload, printf('1f%02x%06x%02x%010x', CAST(substr(payload, 8, 4) AS INTEGER) - 2000, CAST(substr(payload, 13, 6) AS INTEGER), CAST(split_part(payload, '|', 3) AS INTEGER), CAST({_SEALBITS} AS BIGINT)) AS data
       FROM (SELECT payload, replace(split_part(payload, '|', 4), '-', '') AS s FROM ({_PAY}) WHERE regexp_matches(payload, '{_FIT}'))""",
     "ref_k10_rs_decode": f"SELECT payload, payload AS read, true AS same FROM ({_PAY}) WHERE regexp_matches(payload, '{_FIT}')",
