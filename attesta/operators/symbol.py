@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from attesta.functions.seals import ALPHABET
+from attesta.sources.spread import spread
 
 # Field, layout of the payload and tolerances of the reader.
 POLY, DATA, PARITY, MAGIC = 0x11D, 11, 24, 0x1F
@@ -425,6 +426,9 @@ def decode_udf(code: pd.Series) -> pd.Series:
     return pd.Series([None if c is None or len(c) != DATA + PARITY else unpack(rs_decode(bytes(c))) for c in code], dtype=object)
 
 
+encode_udf, decode_udf = encode_udf.asNondeterministic(), decode_udf.asNondeterministic()  # a filter on the result would run them again
+
+
 def tiles_udf(rows: tuple[str, ...] | None = None):
     """The tiles of each payload as text, row by row."""
     rows = rows or disc()
@@ -432,9 +436,9 @@ def tiles_udf(rows: tuple[str, ...] | None = None):
     @F.pandas_udf(_S)
     def run(payload: pd.Series) -> pd.Series:
         made = (tiles_for(p, artwork(rows)) for p in payload)
-        return pd.Series([None if x is None else "".join(map(str, x.ravel())) for x in made], dtype=object)
+        return pd.Series([None if x is None else (x + 48).tobytes().decode() for x in made], dtype=object)
 
-    return run
+    return run.asNondeterministic()
 
 
 def read_tiles_udf(rows: tuple[str, ...] | None = None):
@@ -444,7 +448,7 @@ def read_tiles_udf(rows: tuple[str, ...] | None = None):
 
     @F.pandas_udf(_S)
     def run(tiles: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else tiles_payload(np.array(list(s), np.uint8).reshape(n, n), artwork(rows)) for s in tiles], dtype=object)
+        return pd.Series([None if s is None else tiles_payload((np.frombuffer(s.encode(), np.uint8) - 48).reshape(n, n), artwork(rows)) for s in tiles], dtype=object)
 
     return run
 
@@ -470,7 +474,7 @@ def svg_udf(rows: tuple[str, ...] | None = None, px: int = 512):
         made = (tiles_for(p, artwork(rows)) for p in payload)
         return pd.Series([None if x is None else svg(x, px) for x in made], dtype=object)
 
-    return run
+    return run.asNondeterministic()
 
 
 def decode_images(images: DataFrame, rows: tuple[str, ...] | None = None) -> DataFrame:
@@ -482,7 +486,7 @@ def decode_images(images: DataFrame, rows: tuple[str, ...] | None = None) -> Dat
         ok = lambda g, w, h: g is not None and w and h and len(g) >= w * h
         return pd.Series([decode_image(shrunk(np.frombuffer(g, np.uint8)[: w * h].reshape(h, w)), artwork(rows)) if ok(g, w, h) else None for g, w, h in zip(gray, width, height)], dtype=object)
 
-    return images.select("image_id", run("gray", "width", "height").alias("payload"))
+    return spread(images).select("image_id", run("gray", "width", "height").alias("payload"))
 
 
 def baseline(pixels: DataFrame, side: int, n: int = N) -> DataFrame:

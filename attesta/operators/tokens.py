@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attesta.functions import text as t
+from attesta.sources.spread import spread
 
 # The shapes of the token classes, the thresholds and the strict classes.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -401,14 +402,18 @@ def photo_tokens_udf(text: pd.Series, record: pd.Series) -> pd.Series:
 
 @F.pandas_udf(FINDINGS)
 def findings_udf(photo: pd.Series, record: pd.Series, difference: pd.Series) -> pd.DataFrame:
-    rows = [_compared(p, r, int(d)) for p, r, d in zip(photo, record, difference)]
+    rows = [_compared(p, r, int(d)) if d >= 0 else {"findings": [], "suppressed": 0} for p, r, d in zip(photo, record, difference)]
     return pd.DataFrame({"findings": [r["findings"] for r in rows], "suppressed": [r["suppressed"] for r in rows]})
 
 
+# A filter on what a function gives would else run it once more.
+lcs_udf, tokens_udf, photo_tokens_udf, findings_udf = (f.asNondeterministic() for f in (lcs_udf, tokens_udf, photo_tokens_udf, findings_udf))
+
+
 def page_tokens(pages: DataFrame, text: str = "text", record: str | None = None) -> DataFrame:
     """`pages` with one row for each token: seq, cls, value, line, label, number, match_key."""
     made = tokens_udf(F.col(text)) if record is None else photo_tokens_udf(F.col(text), F.col(record))
-    rows = pages.select(*[c for c in pages.columns if c not in (text, record)], F.posexplode(made).alias("seq", "tok"))
+    rows = spread(pages).select(*[c for c in pages.columns if c not in (text, record)], F.posexplode(made).alias("seq", "tok"))
     return rows.select("*", "tok.*").drop("tok").withColumn("match_key", t.match_key(F.col("cls"), F.col("value")))
 
 
@@ -474,14 +479,14 @@ def compare_pages(pairs: DataFrame) -> DataFrame:
     Words and their common subsequence come first; only pairs that read as the same page reach the extraction of tokens.
     Null texts are empty: such pairs are 'image_unreadable'.
     """
-    w = pairs.withColumn("_a", t.words(F.col("ocr_text"))).withColumn("_b", t.words(F.col("auth_text")))
+    w = spread(pairs.select("pair_id", "ocr_text", "auth_text")).withColumn("_a", t.words(F.col("ocr_text"))).withColumn("_b", t.words(F.col("auth_text")))
     w = w.withColumn("_n", F.size("_a")).withColumn("_m", F.size("_b"))
-    none = F.array().cast(f"array<{FINDING}>")
-    dark = w.filter(F.col("_n") < LEAST_WORDS).select("pair_id", F.lit("image_unreadable").alias("status"), F.lit(0.0).alias("similarity"), none.alias("findings"), F.lit(0).alias("suppressed"))
-    lit = w.filter(F.col("_n") >= LEAST_WORDS).withColumn("_l", lcs_udf("_a", "_b")).withColumn("similarity", 2.0 * F.col("_l") / (F.col("_n") + F.col("_m"))).drop("_a", "_b")
-    other = lit.filter(F.col("similarity") < SAME_PAGE).select("pair_id", F.lit("page_differs").alias("status"), "similarity", none.alias("findings"), F.lit(0).alias("suppressed"))
-    same = lit.filter(F.col("similarity") >= SAME_PAGE).withColumn("r", findings_udf("ocr_text", "auth_text", F.greatest("_n", "_m") - F.col("_l")))
-    return dark.unionByName(other).unionByName(same.select("pair_id", F.lit("compared").alias("status"), "similarity", "r.findings", "r.suppressed"))
+    read = F.col("_n") >= LEAST_WORDS
+    # Unread pages go through the first function with nothing to compare, other pages through the second.
+    w = w.withColumn("_l", lcs_udf(F.when(read, F.col("_a")), F.col("_b"))).drop("_a", "_b").withColumn("similarity", F.when(read, 2.0 * F.col("_l") / (F.col("_n") + F.col("_m"))).otherwise(0.0))
+    w = w.withColumn("status", F.when(~read, "image_unreadable").when(F.col("similarity") < SAME_PAGE, "page_differs").otherwise("compared"))
+    w = w.withColumn("r", findings_udf("ocr_text", "auth_text", F.when(F.col("status") == "compared", F.greatest("_n", "_m") - F.col("_l")).otherwise(-1)))
+    return w.select("pair_id", "status", "similarity", "r.findings", "r.suppressed")
 
 
 def shown_findings(compared: DataFrame) -> DataFrame:

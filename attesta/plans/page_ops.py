@@ -197,7 +197,7 @@ def ref_s5a_flat_words(spark, d):
 
 def ref_a6_confidence(spark, d):
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), (F.col("doc_id") % 130).cast("double").alias("page_confidence"))
-    return ocr.content_confidence(word_rows(spark, d), pages).select("image_id", F.round("mean_confidence", 6).alias("mean_confidence"))
+    return ocr.content_confidence(word_rows(spark, d), pages).select("image_id", F.round("mean_confidence", 12).alias("mean_confidence"))
 
 
 def ref_a8_median_height(spark, d):
@@ -386,7 +386,7 @@ SQL = {
       WHERE found IS NULL OR expected IS NULL OR list_slice(x, 1, least(len(x), len(y))) <> list_slice(y, 1, least(len(x), len(y)))""",
     "ref_s2_page_texts": f"SELECT image_id, string_agg(text, ' ' ORDER BY seq) AS text, string_agg(text || CASE WHEN seq = m THEN '' WHEN seq % 8 = 7 THEN chr(10) ELSE ' ' END, '' ORDER BY seq) AS text_lines FROM (SELECT *, max(seq) OVER (PARTITION BY image_id) AS m FROM ({SQL_WORDS})) GROUP BY 1",
     "ref_s5a_flat_words": f"SELECT image_id, string_agg(text, ' ' ORDER BY seq) AS words FROM ({SQL_WORDS}) GROUP BY 1",
-    "ref_a6_confidence": f"SELECT d.doc_id AS image_id, round(coalesce(c, greatest(0.0, least(1.0, (d.doc_id % 130) / 100.0))), 6) AS mean_confidence FROM documents d LEFT JOIN (SELECT image_id, avg(CAST(confidence AS DOUBLE)) AS c FROM ({SQL_WORDS}) WHERE regexp_matches(text, '[a-zA-Z0-9]{{2,}}') GROUP BY 1) w ON w.image_id = d.doc_id",
+    "ref_a6_confidence": f"SELECT d.doc_id AS image_id, round(coalesce(c, greatest(0.0, least(1.0, CAST(d.doc_id % 130 AS DOUBLE) / 100))), 12) AS mean_confidence FROM documents d LEFT JOIN (SELECT image_id, avg(CAST(confidence AS DOUBLE)) AS c FROM ({SQL_WORDS}) WHERE regexp_matches(text, '[a-zA-Z0-9]{{2,}}') GROUP BY 1) w ON w.image_id = d.doc_id",
     "ref_a8_median_height": f"SELECT image_id, list_sort(list(CAST(y1 - y0 AS DOUBLE)))[count(*) // 2 + 1] AS median_height FROM ({SQL_WORDS}) WHERE trim(text) <> '' GROUP BY 1",
     "ref_a12_union_box": f"SELECT image_id, min(x0) AS x0, min(y0) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM ({SQL_WORDS}) GROUP BY 1",
     "ref_s6a_text_boxes": "SELECT p_partkey AS doc_id, 'text' AS kind, trim(p_name) AS text, false AS rule, CAST(p_size AS DOUBLE) AS x0, CAST(p_partkey % 800 - 2.0 AS DOUBLE) AS y0, CAST(p_size + 30.0 AS DOUBLE) AS x1, CAST(p_partkey % 800 + 6.8 AS DOUBLE) AS y1 FROM part WHERE p_partkey % 7 <> 0",

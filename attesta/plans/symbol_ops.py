@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from attesta.operators import symbol as s
 from attesta.plans import page_ops as p
+from attesta.sources.spread import spread
 from attesta.sources.tables import table
 
 
 def payloads(spark, d):
     """A payload for each page on file; every seventh has a number that can't be carried."""
     r = table(spark, d, "pages").select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("no"), "page_no", "seal").filter("no <> ''").distinct()
-    return r.select(F.concat_ws("|", F.lit("CVR"), F.when(F.col("page_no") == 7, F.lit("R1-1999-12")).otherwise(F.col("no")), F.col("page_no").cast("string"), "seal").alias("payload")).distinct()
+    return spread(r.select(F.concat_ws("|", F.lit("CVR"), F.when(F.col("page_no") == 7, F.lit("R1-1999-12")).otherwise(F.col("no")), F.col("page_no").cast("string"), "seal").alias("payload")).distinct())
 
 
 def ref_k6_pack(spark, d):

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Below so many bytes for each core a repartition costs next to nothing.
+SMALL_PER_CORE = 32 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where its scan has fewer tasks than cores, which only small inputs have; else as it is, without a shuffle."""
+    """`df` over all cores where it is small and would else run in fewer tasks than there are cores; large data stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    plan = df._jdf.queryExecution()
+    shuffled = "AdaptiveSparkPlan" in plan.executedPlan().toString()  # counting its tasks would run it
+    if not shuffled and plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores) if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= cores * SMALL_PER_CORE else df
