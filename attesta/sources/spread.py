@@ -9,7 +9,9 @@ SMALL_PER_CORE = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where it is small and would else run in fewer tasks than there are cores; large data stays as it is, without a shuffle."""
+    """`df` over all cores where it is small and would else run in fewer tasks than there are cores; large data and streams stay as they are, without a shuffle."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     shuffled = "AdaptiveSparkPlan" in plan.executedPlan().toString()  # counting its tasks would run it
