@@ -99,13 +99,14 @@ def same_places(forms_: DataFrame) -> DataFrame:
     weighed = words.join(df, "w").withColumn("weight", F.log(1 + total / F.col("n")))
     blocks = weighed.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("weights")).join(forms_, "form")
     blocks = blocks.withColumn("all", F.map_keys("weights"))
-    index = blocks.withColumn("w", F.explode("all"))
-    a, b = index.alias("a"), index.alias("b")
+    # The index carries hashes and what rules a pair out at once; words and weights join the pairs that are left.
+    index = words.select("form", F.xxhash64("nums", "w", "town").alias("block"), F.xxhash64("kind").alias("kind"), F.xxhash64("barangay").alias("barangay"), F.col("kind").isNull().alias("no_kind"), F.col("barangay").isNull().alias("no_barangay"))
     col = F.col
-    pair = a.join(b, (col("a.nums") == col("b.nums")) & (col("a.w") == col("b.w")) & (col("a.form") < col("b.form")))
-    agree = lambda c: col(f"a.{c}").isNull() | col(f"b.{c}").isNull() | (col(f"a.{c}") == col(f"b.{c}"))
-    # A pair comes once, from the first of the words that its forms share.
-    pair = pair.filter((col("a.w") == F.array_min(F.array_intersect("a.all", "b.all"))) & agree("kind") & agree("barangay") & (col("a.town") == col("b.town")))
+    agree = lambda c: col(f"a.no_{c}") | col(f"b.no_{c}") | (col(f"a.{c}") == col(f"b.{c}"))
+    near_by = index.alias("a").join(index.alias("b"), (col("a.block") == col("b.block")) & (col("a.form") < col("b.form")) & agree("kind") & agree("barangay"))
+    near_by = near_by.select(col("a.form").alias("fa"), col("b.form").alias("fb")).distinct()
+    detail = blocks.select("form", "nums", "street", "all", "weights", "town", "barangay")
+    pair = near_by.join(detail.alias("a"), col("fa") == col("a.form")).join(detail.alias("b"), col("fb") == col("b.form")).filter((col("a.nums") == col("b.nums")) & (col("a.town") == col("b.town")))
     only_a, only_b = F.array_except("a.street", "b.street"), F.array_except("b.street", "a.street")
     near = lambda x, ys: F.exists(ys, lambda y: F.levenshtein(x, y) <= EDITS)
     weight = lambda ws, side: F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.coalesce(col(f"{side}.weights")[w], F.lit(0.0)))
