@@ -58,12 +58,12 @@ def live_record_no(page: Column, kind: Column, canonical: Column) -> Column:
     return F.when(~none, F.when(kind == "iis_no", canonical).otherwise(F.coalesce(found, canonical)))
 
 
-def lookup_url(kind: Column, canonical: Column, base: Column) -> Column:
-    """Where a number or token is looked up; the query is percent-encoded as encodeURIComponent does."""
+def lookup_url(kind: Column, canonical: Column, base: Column, view: str = "/view/", search: str = "/search?q=") -> Column:
+    """Where a number (under the path `search`) or a token (under `view`) is looked up; the query is percent-encoded as encodeURIComponent does."""
     q = F.url_encode(canonical)
     for encoded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         q = F.replace(q, F.lit(encoded), F.lit(plain))
-    return F.when(kind == "token", F.concat(base, F.lit("/embis/dar/preview2/"), canonical)).otherwise(F.concat(base, F.lit("/embis/dms/documents/inbox?q="), q))
+    return F.when(kind == "token", F.concat(base, F.lit(view), canonical)).otherwise(F.concat(base, F.lit(search), q))
 
 
 def label_value(page: Column, label: str) -> Column:

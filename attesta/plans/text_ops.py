@@ -270,7 +270,7 @@ SQL = {
     "ref_p1_normalize": f"SELECT id, kind, canonical_id FROM ({_NORM.replace("<source>", SQL_PAYLOADS)})",
     "ref_p3_live_record": f"""SELECT DISTINCT id, CASE WHEN id % 7 = 0 THEN NULL WHEN kind = 'iis_no' THEN canonical_id ELSE coalesce(nullif(regexp_extract(s, 'R1-(?:19|20)[0-9][0-9]-[0-9]{{4,}}', 0), ''), canonical_id) END AS iis_no
       FROM ({_NORM.replace("<source>", _LOG)})""",
-    "ref_p4_lookup_url": f"SELECT id, '{BASE}' || CASE WHEN kind = 'token' THEN '/embis/dar/preview2/' || canonical_id ELSE '/embis/dms/documents/inbox?q=' || replace(url_encode(canonical_id), '%2A', '*') END AS url FROM ({_NORM.replace("<source>", SQL_PAYLOADS)})",
+    "ref_p4_lookup_url": f"SELECT id, '{BASE}' || CASE WHEN kind = 'token' THEN '/view/' || canonical_id ELSE '/search?q=' || replace(url_encode(canonical_id), '%2A', '*') END AS url FROM ({_NORM.replace("<source>", SQL_PAYLOADS)})",
     "ref_p5_verification_page": f"""SELECT * FROM (SELECT load_no, row_no, {_field(f'IIS{W}*No[.]?')} AS iis_no, {_field('Subject')} AS subject, {_field('Status')} AS status, {_field('Division')} AS division, {_field(f'Company{W}*Name')} AS company_name
       FROM ({_PAGE})) WHERE regexp_matches(iis_no, '^R1-(?:20|21)[0-9][0-9]-[0-9]{{6}}$')""",
     "ref_p6_may_fetch": "SELECT DISTINCT id, id % 6 IN (0, 1) AS ok FROM verify_log",
