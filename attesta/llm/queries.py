@@ -37,7 +37,8 @@ def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     sizes, n = _sizes(spark, d)
-    return packing.split_items(packing.pack(sizes, _capacities(spark, d)["crate"], n))
+    crate = _capacities(spark, d).get("crate")
+    return sizes.select("doc_id").limit(0) if crate is None else packing.split_items(packing.pack(sizes, crate, n))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
