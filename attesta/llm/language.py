@@ -36,7 +36,7 @@ BLOCK = 512
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|\[/?[A-Z]{2,8}\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
-_GOODS = re.compile(r"\b[A-ZА-Я][\w-]*\s+[A-Z][0-9]{1,4}\b")
+_GOODS = re.compile(r"\b[^\W\d_][\w-]*\s+[A-Z][0-9]{1,4}\b", re.I)
 _SOFT = re.compile(r"(?<![.!?…\s\"')\]])[ \t]*\n[ \t]*(?=[^\s\n])")
 _UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _END = re.compile(r"(?<=[.!?…])[\"'»”)\]]*(?:\s+|$)|\n+|\s+/+\s+|\s+[-–—]{2,}\s+|\s+\|\s+")
