@@ -2,7 +2,8 @@
 
 1. An address is cut into its numbers (house number, or lot and block; units, floors, rooms and stalls don't count), the
    kind of street and its words. Words are brought to the spelling of the gazetteer, or of a word that is RATIO times as
-   common, where a symmetric-delete index finds it within one edit.
+   common, where a symmetric-delete index finds it within one edit. What names the street is never made a word of another
+   part: the word before a kind of street, a second kind of street, or all that could name it.
 2. Equal results are one *form*; only forms are compared. Blocks are the sorted numbers plus one word; the words that few
    forms have, and the most common words of an address (its town, its province) make no block.
 3. Two forms of a block are the same place when the rarity-weighted share of their common words is high, each word that is
@@ -67,7 +68,6 @@ def forms(records: DataFrame, barangays: DataFrame) -> tuple[DataFrame, DataFram
     split = durable(parsed(texts.groupBy("address").agg(F.count("*").alias("_n"))).withColumn("id", F.xxhash64("address")).drop("_n"))
     counts = split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     fixes = durable(spellings(counts, known))
-    each = split.select("id", F.explode("words").alias("w")).join(fixes, "w", "left").groupBy("id").agg(F.collect_set(F.coalesce("good", "w")).alias("words"))
     # The barangay of an address says its town; so does its zip.
     in_town = spoken.sparkSession.createDataFrame([(r["barangay"], r["town"]) for r in places], "barangay string, of_town string")
     zip_town = {r["zip"]: r["town"] for r in places}
@@ -76,14 +76,24 @@ def forms(records: DataFrame, barangays: DataFrame) -> tuple[DataFrame, DataFram
 
     lit_array = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     first = lambda a: F.element_at(F.when(F.size(a) > 0, a), 1)
+    drop = sorted({*KINDS, *NOISE, *province_words, *b_names, *t_names})
+    w, good, is_kind = F.col("w"), F.col("good"), lambda c: c.isin([*KINDS])
+    fixes = fixes.select("w", "good", good.isin(drop).alias("dropped"), is_kind(good).alias("to_kind"), good.isin([*KINDS, *NOISE]).alias("spoken"))
+    before_kind = F.filter("words", lambda x, i: is_kind(F.get("words", i + 1)))
+    each = split.select("id", F.exists("words", is_kind).alias("kinded"), before_kind.alias("names"), F.explode("words").alias("w")).select("id", "kinded", F.array_contains("names", w).alias("names"), "w").join(fixes, "w", "left")
+    each = each.withColumn("good", F.when(~(F.col("dropped") & (F.col("names") | (F.col("to_kind") & F.col("kinded")))), good))
+    each = each.groupBy("id").agg(F.collect_set(F.struct("w", "good", (good.isNotNull() & F.col("spoken")).alias("spoken"))).alias("x"))
+    streets = lambda ws: F.array_sort(F.filter(F.array_except(ws, lit_array(drop)), lambda x: F.length(x) > 2))
+    fixed = F.array_distinct(F.transform("x", lambda e: F.coalesce(e["good"], e["w"])))
+    written = F.array_distinct(F.transform("x", lambda e: F.when(e["spoken"] | F.array_contains(F.transform("x", lambda o: o["w"]), e["good"]), e["w"]).otherwise(F.coalesce(e["good"], e["w"]))))
+    each = each.select("id", F.when(F.size(streets(fixed)) > 0, fixed).otherwise(written).alias("words"))
     f = split.drop("words").join(each, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     f = f.withColumn("barangay", first(F.array_sort(F.array_intersect("words", lit_array(b_names)))))
     f = f.withColumn("zip", first(F.array_intersect("_d", lit_array(zips)))).withColumn("_d", F.array_except("_d", lit_array(zips)))
     f = f.withColumn("town", first(F.array_sort(F.array_intersect("words", lit_array(t_names)))))
     f = f.join(F.broadcast(in_town), "barangay", "left").withColumn("town", F.coalesce("of_town", "town", _literal_map(zip_town)[F.col("zip")] if zip_town else F.lit(None).cast("string")))
     f = f.withColumn("kind", first(F.array_sort(F.filter(F.transform("words", lambda w: _literal_map(KINDS)[w]), lambda k: k.isNotNull()))))
-    drop = lit_array(sorted({*KINDS, *NOISE, *province_words, *b_names, *t_names}))
-    f = f.withColumn("street", F.array_sort(F.filter(F.array_except("words", drop), lambda w: F.length(w) > 2)))
+    f = f.withColumn("street", streets(F.col("words")))
     f = f.withColumn("nums", F.coalesce("_l", F.nullif(F.array_join(F.array_sort("_d"), ","), F.lit("")))).filter(F.col("nums").isNotNull() & (F.size("street") > 0) & F.col("town").isNotNull())
     named = f.select("address", "nums", "kind", "street", "barangay", "town", F.xxhash64("nums", F.coalesce("kind", F.lit("-")), F.array_join("street", " "), F.coalesce("barangay", F.lit("-")), "town").alias("form"))
     named = durable(named)

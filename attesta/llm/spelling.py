@@ -13,8 +13,18 @@ def deletes(w: Column) -> Column:
     return F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
 
 
+def one_apart(a: Column, b: Column) -> Column:
+    """One insertion, deletion, substitution or swap of neighbours apart."""
+    swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    edits = F.levenshtein(a, b)
+    return (edits == 1) | ((edits == 2) & (F.length(a) == F.length(b)) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)), swapped))
+
+
 def spellings(words: DataFrame, known: DataFrame, ratio: float = RATIO, shortest: int = 4) -> DataFrame:
-    """(w, good) for words that are slips: `good` is within one edit or swap, and in `known` or `ratio` times as common.
+    """(w, good) for words that are slips: `good` is within one edit or swap, and `ratio` times as common.
+
+    A word in `known` need not be so common where the slip itself is in fewer than `ratio` forms, and in no more than the
+    known word (or in a single one): so few say nothing of a word of its own.
 
     words: (w, n) distinct words with the number of forms that have them; known: (w), right as they are. Words of fewer
     than `shortest` or more than 40 letters have no slips.
@@ -23,6 +33,6 @@ def spellings(words: DataFrame, known: DataFrame, ratio: float = RATIO, shortest
     index = vocab.select("w", "n", "is_known", F.explode(deletes(F.col("w"))).alias("d"))
     slip = index.filter("NOT is_known AND n > 0").select("d", F.col("w").alias("w"), F.col("n").alias("nw"))
     good = index.select("d", F.col("w").alias("good"), F.col("n").alias("ng"), "is_known")
-    near = slip.join(good, "d").filter((F.col("w") != F.col("good")) & (F.col("is_known") | (F.col("ng") >= ratio * F.col("nw"))))
-    near = near.withColumn("edits", F.levenshtein("w", "good")).filter(F.col("edits") <= 2)
+    near = slip.join(good, "d").filter((F.col("w") != F.col("good")) & ((F.col("ng") >= ratio * F.col("nw")) | (F.col("is_known") & (F.col("nw") < ratio) & (F.col("nw") <= F.greatest("ng", F.lit(1))))))
+    near = near.filter(one_apart(F.col("w"), F.col("good"))).withColumn("edits", F.levenshtein("w", "good"))
     return near.groupBy("w").agg(F.min_by("good", F.struct(~F.col("is_known"), F.col("edits"), -F.col("ng"), F.col("good"))).alias("good"))

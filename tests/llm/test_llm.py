@@ -164,6 +164,22 @@ def test_a_place_that_isnt_settled_is_no_case(spark):
     assert a.same_address_records(reg, spark.createDataFrame(places, "barangay string, town string, province string, zip string")).collect() == []
 
 
+def test_what_names_a_street_is_no_slip(spark):
+    rows = [
+        "12 Rosa Street, Supibuli, Mututulang", "Rosa St. 12, Brgy Supibuli, Mututulang", "14 Roda Street, Supibuli, Mututulang", "14 Roda St, Bgy. Supibuli, Mututulang", "14 Road, Supibuli, Mututulang", "16 Supibulo Street, Supibuli, Mututulang", "16 Supibulo St, Supibuli, Mututulang",
+        "18 Blossom Roda Street, Supibuli, Mututulang", "18 Blossom Street, Supibuli, Mututulang", "18 Blossom Road, Supibuli, Mututulang", "21 Roda, Supibuli, Mututulang", "Supibuli, Mututulang; 21 Roda", "7 Supibuil, Mututulang", "7 Supibuil - Mututulang", "23 Blossom Raod, Supibuli, Mututulang", "23 Blossom Road, Supibuli, Mututulang",
+        *[f"{i} Daradisus Yadikabut Road, Supibuli, Mututulang" for i in range(100, 190)],
+    ]
+    assert pairs(spark, rows) == [(0, 1), (2, 3), (5, 6), (10, 11), (14, 15)]
+
+
+def test_known_words_replace_slips_only(spark):
+    words = spark.createDataFrame([("rosa", 3), ("roda", 12), ("raod", 2), ("near", 40), ("neara", 30), ("supibul", 1), ("mututulnag", 3), ("dnear", 40)], "w string, n bigint")
+    known = spark.createDataFrame([("road",), ("near",), ("supibuli",), ("mututulang",)], "w string").unionByName(spark.createDataFrame([("lane",)], "w string"))
+    counts = words.unionByName(spark.createDataFrame([("road", 60), ("mututulang", 5)], "w string, n bigint"))
+    assert {r.w: r.good for r in spelling.spellings(counts, known).collect()} == {"raod": "road", "supibul": "supibuli", "mututulnag": "mututulang"}
+
+
 # --- 5 ---
 
 
