@@ -245,6 +245,11 @@ def test_names(spark):
     assert name_pairs(spark, [], []) == {"company_name": [], "subject_name": []}
 
 
+def test_slips_in_first_letters_of_persons(spark):
+    persons = ["Cristina Bragalis Bunujorlagan", "Cristina Rbagalis Bunujorlagan", "Rcistina Bragalis Bunujorlagan", "Cristina Kwagalis Bunujorlagan", "Wenola Zenflgro Tarulimbal", "Venola Zenflgro Tarulimbl", "W. Zenflgro Tarulimbal"]
+    assert name_pairs(spark, [], persons)["subject_name"] == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6)]
+
+
 # --- 8 ---
 
 TEXTS = {
