@@ -250,6 +250,14 @@ def test_slips_in_first_letters_of_persons(spark):
     assert name_pairs(spark, [], persons)["subject_name"] == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6)]
 
 
+def test_organisations_with_every_word_shortened(spark):
+    companies = [
+        "Margrosol Trading", "Margr. Trading", "Margrosol Galnovbra Fishing", "Marg. Galn. Fishing", "M. G. Fishing", "Quinelcle Zenpelquin Mining", "Quinelbra Zenmarhel Mining", "Quinel. Zen. Mining",
+        "Tarulim Wenola Zenflgro Quarry", "Tarulim WenolaZenflgro Quarry", "Wenulam Brosol Kilgrove Hauling", "WenulamBrosolKil. Hauling", "Q Z Mining",
+    ]
+    assert name_pairs(spark, companies, [])["company_name"] == [(0, 1), (2, 3), (2, 4), (3, 4), (8, 9), (10, 11)]
+
+
 # --- 8 ---
 
 TEXTS = {
