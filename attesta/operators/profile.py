@@ -1,16 +1,20 @@
-"""Column-level data quality profile (problem 3).
+"""Column-level data quality profile (problem 3): expressions induced by minimum description length, and what breaks them.
 
-For each column an expression is induced by minimum description length over all its distinct values. A value is cut into
-runs (upper case letters, lower case letters, digits, spaces, other signs); values of the same run signature form a class,
-in which a run position with one value stays literal and any other becomes a class of characters of fixed length. An
-alternative enters the column's expression when writing its values through it is shorter than writing them out:
+Over all values, each with its number of rows, the alternatives of a column's expression compete:
 
-    rows * (literal bits - bits of the open positions - bits of naming the alternative) > bits of the alternative itself
+- a pattern of fixed length: the value's characters as classes (upper case, lower case, digit, space; other signs stand for
+  themselves), a run of one class literal where that is shorter;
+- the same with runs of any length;
+- a list that a reference table holds, which costs its name;
 
-or, for the same class, when a list of its common values is shorter still,
-and when it holds at least `min_share` of the rows that aren't blank, so that a habitual mistake doesn't become the form.
-All of it is three aggregations over (column, value) counts; what comes to the driver is at most 1 / min_share alternatives
-a column.
+and in either pattern the value of another column of the same row, where it occurs, is one sign: a placeholder. A row costs 8
+bits a character written out; through an alternative it costs the bits of the open classes (or the number within the list)
+and of naming the alternative. The alternative that saves most enters, then the next among the rows still written out, as
+long as it saves more than its own text and, in more than half of the loads, at least LEAST_GAIN of the load's description.
+So neither a habit of one load nor a mistake that is made again and again becomes the form.
+
+Values are counted by signature in one aggregation; what comes to the driver is bounded: in each load at most 1 / LEAST_GAIN
+alternatives of a kind hold that share, and each has to in half of the loads.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,144 +31,325 @@ from attesta.sources.durable import durable
 
 #: A load differs when a share is further than this from the median over all loads.
 SHARE_STEP = 0.2
-#: An alternative of a column's expression holds at least this share of the rows that aren't blank.
-MIN_SHARE = 0.01
-_RUN = r"[A-Z]+|[a-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]"
-_KINDS = (("U", "[A-Z]", 4.7), ("l", "[a-z]", 4.7), ("d", "[0-9]", 3.32))
-
-
-def unpivoted(rows: DataFrame, ids: Sequence[str], columns: Sequence[str], forms: Mapping[str, Column] | None = None) -> DataFrame:
-    """(ids..., field_name, value, form_ok) with one row for each row and column; form_ok is null without a declared form."""
-    forms = forms or {}
-    no_form = F.lit(None).cast("boolean")
-    each = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("value"), forms.get(c, no_form).alias("form_ok")) for c in columns])
-    return rows.select(*ids, F.explode(each).alias("_x")).select(*ids, "_x.*")
-
-
-def value_counts(cells: DataFrame, load: str) -> DataFrame:
-    """(load, field_name, value, form_ok, n): the one large shuffle, of counts pre-aggregated in each task."""
-    return cells.groupBy(load, "field_name", "value", "form_ok").agg(F.count("*").alias("n"))
-
-
-def induce_expressions(counts: DataFrame, min_share: float = MIN_SHARE) -> dict[str, list[tuple[str, int]]]:
-    """For each field the alternatives of its expression as (regular expression, rows), from (field_name, value, n)."""
-    values = counts.filter(~is_blank(F.col("value"))).groupBy("field_name", "value").agg(F.sum("n").alias("n"))
-    runs = values.withColumn("runs", F.regexp_extract_all("value", F.lit(f"({_RUN})"), 1))
-    kind = lambda r: F.when(r.rlike("^[A-Z]"), "U").when(r.rlike("^[a-z]"), "l").when(r.rlike("^[0-9]"), "d").when(r.rlike(r"^\s"), "s").otherwise("p")
-    # Letters and digits count with their length; a class of letters of any length is left to the literal positions.
-    runs = runs.withColumn("sig", F.array_join(F.transform("runs", lambda r: F.concat(kind(r), F.length(r).cast("string"), F.when(kind(r) == "p", r).otherwise(F.lit("")))), " "))
-    total = values.groupBy("field_name").agg(F.sum("n").alias("total"))
-    sizes = runs.groupBy("field_name", "sig").agg(F.sum("n").alias("n"), F.count("*").alias("n_values"))
-    large = sizes.join(total, "field_name").filter(F.col("n") >= min_share * F.col("total"))
-    places = (
-        runs.select("field_name", "sig", F.posexplode("runs").alias("pos", "run"))
-        .join(large.select("field_name", "sig"), ["field_name", "sig"], "left_semi")
-        .groupBy("field_name", "sig", "pos").agg(F.min("run").alias("lo"), F.max("run").alias("hi"))
-    )
-    common = runs.select("field_name", "sig", "value", "n").join(total, "field_name").filter(F.col("n") >= min_share * F.col("total"))
-    common = common.groupBy("field_name", "sig").agg(F.collect_list(F.struct("value", "n")).alias("common"))
-    kept = places.groupBy("field_name", "sig").agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("places")).join(large, ["field_name", "sig"]).join(common, ["field_name", "sig"], "left")
-    out: dict[str, list[tuple[str, int]]] = {}
-    for r in kept.collect():  # at most 1 / min_share rows a field, with at most as many common values
-        text, open_bits, literal_bits = "", 0.0, 0.0
-        for p in r["places"]:
-            n = len(p["lo"])
-            literal_bits += 8 * n
-            if p["lo"] == p["hi"]:
-                text += re.escape(p["lo"])
+#: An alternative shortens the description of most loads by at least this share.
+LEAST_GAIN = 0.05
+#: Values of a reference list at most; they are literals of the plan.
+MOST_LISTED = 10_000
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_CLASSES = {"U": ("[A-Z]", math.log2(26)), "l": ("[a-z]", math.log2(26)), "d": ("[0-9]", math.log2(10)), "s": (r"\s", 1.0)}
+_SPACES = " \t\n\r\x0b\x0c"
+
+
+class Alternative(NamedTuple):
+    """One alternative of an expression: a regular expression over the value with placeholders, or the name of a list."""
+
+    text: str
+    is_list: bool
+    rows: int
+
+
+Expressions = Mapping[str, Sequence[Alternative]]
+
+
+def _mark(i: int) -> str:
+    return chr(0xE000 + i)
+
+
+def with_placeholders(value: Column, others: Mapping[str, Column]) -> Column:
+    """The value with what the row has in `others` (texts of 4 or more characters) replaced by one sign each."""
+    marks = "".join(_mark(i) for i in range(len(others)))
+    out = F.translate(value, marks, "�" * len(marks)) if others else value
+    for i, c in enumerate(others.values()):
+        out = F.when(F.length(c) >= 4, F.replace(out, c, F.lit(_mark(i)))).otherwise(out)
+    return out
+
+
+def signature(value: Column) -> Column:
+    """The value with each character as its class."""
+    return F.translate(value, _UPPER + _LOWER + _DIGITS + _SPACES, "U" * 26 + "l" * 26 + "d" * 10 + "s" * len(_SPACES))
+
+
+def _loose(sig: Column) -> Column:
+    return F.regexp_replace(sig, r"([Ulds])\1+", "$1")
+
+
+def _runs(sig: str) -> list[tuple[str, int, int]]:
+    """(class or sign, start, length) of each run of a signature; a sign is a run of its own."""
+    return [(m[0][0], m.start(), len(m[0])) for m in re.finditer(r"U+|l+|d+|s+|[^Ulds]", sig, re.S)]
+
+
+def _listed(value: Column, lists: Mapping[str, Sequence[str]]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, values in lists.items():
+        out = F.when(value.isin(list(values)), F.lit(name)).otherwise(out)
+    return out
+
+
+def _fields(columns: Sequence[str], others: Mapping[str, Column]) -> dict[str, tuple[Column, Column]]:
+    """For each column its value as text and with placeholders; a column is no placeholder of itself."""
+    return {c: (F.col(c).cast("string"), with_placeholders(F.col(c).cast("string"), {n: x for n, x in others.items() if n != c})) for c in columns}
+
+
+def signature_counts(rows: DataFrame, load: str, columns: Sequence[str], others: Mapping[str, Column], lists: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(load, field_name, listed, sig, n) over the values that aren't blank: counts are added up in each task before the shuffle."""
+    each = F.array(*[F.struct(F.lit(c).alias("field_name"), _listed(v, lists).alias("listed"), F.when(~is_blank(v), signature(t)).alias("sig")) for c, (v, t) in _fields(columns, others).items()])
+    return rows.select(F.col(load).alias("load"), F.explode(each).alias("x")).select("load", "x.*").filter("sig IS NOT NULL").groupBy("load", "field_name", "listed", "sig").agg(F.count("*").alias("n"))
+
+
+def _candidates(counts: DataFrame, least_gain: float) -> list:
+    """Alternatives that could save enough in more than half of the loads, as rows (field_name, kind, key, n, chars)."""
+    c = counts.withColumn("bits", 8 * F.length("sig") * F.col("n"))
+    whole = c.groupBy("load", "field_name").agg(F.sum("bits").alias("whole"))
+    loads = whole.groupBy("field_name").agg(F.count("*").alias("loads"))
+    kinds = F.array(F.struct(F.lit("list").alias("kind"), F.col("listed").alias("key")), F.struct(F.lit("fixed").alias("kind"), F.col("sig").alias("key")), F.struct(F.lit("loose").alias("kind"), _loose(F.col("sig")).alias("key")))
+    each = c.withColumn("k", F.explode(kinds)).select("*", "k.*").filter("key IS NOT NULL").groupBy("load", "field_name", "kind", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
+    held = each.join(whole, ["load", "field_name"]).groupBy("field_name", "kind", "key").agg(F.count_if(F.col("bits") >= least_gain * F.col("whole")).alias("good"), F.sum("n").alias("n"), (F.sum("bits") / 8).alias("chars"))
+    found = held.join(loads, "field_name").filter("2 * good > loads").drop("good")
+    return found.collect()
+
+
+def _regex(sig: str, loose: bool, literal: Mapping[int, str]) -> str:
+    text = ""
+    for i, (kind, _, length) in enumerate(_runs(sig)):
+        if i in literal:
+            text += re.escape(literal[i])
+        elif kind in _CLASSES:
+            text += _CLASSES[kind][0] + ("+" if loose else f"{{{length}}}" if length > 1 else "")
+        else:
+            text += re.escape(kind)
+    return text
+
+
+def _group_regex(sig: str) -> str:
+    return "^" + "".join(f"({_CLASSES[k][0]}+)" if k in _CLASSES else f"({re.escape(k)})" for k, *_ in _runs(sig)) + r"\z"
+
+
+def _common_runs(rows: DataFrame, columns: Sequence[str], others: Mapping[str, Column], found: list) -> dict[tuple, tuple[str, int, float]]:
+    """For each open run of each pattern its most common text, about how many rows have it, and the mean length of the run, by frequency sketches in one pass."""
+    fields, wanted = _fields(columns, others), []
+    for r in found:
+        if r["kind"] == "list":
+            continue
+        t = fields[r["field_name"]][1]
+        sig = signature(t)
+        for i, (kind, start, length) in enumerate(_runs(r["key"])):
+            if kind not in _CLASSES:
+                continue
+            if r["kind"] == "fixed":
+                run = F.when(sig == r["key"], F.substring(t, start + 1, length))
             else:
-                char, bits = next(((c, b) for _, c, b in _KINDS if re.match(c, p["lo"])), (r"\s", 1.0))
-                text += f"{char}{{{n}}}"
-                open_bits += bits * n
-        named = lambda n: -math.log2(n / r["total"])
-        as_class = r["n"] * (literal_bits - open_bits - named(r["n"])) - 8 * len(text)
-        each = [(re.escape(v["value"]), v["n"], v["n"] * (8 * len(v["value"]) - named(v["n"])) - 8 * len(v["value"])) for v in r["common"] or []]
-        as_list = sum(x[2] for x in each if x[2] > 0)
-        if max(as_class, as_list) > 0:
-            found = [(text, r["n"])] if as_class >= as_list else [(v, n) for v, n, gain in each if gain > 0]
-            out.setdefault(r["field_name"], []).extend(found)
-    return {k: sorted(v, key=lambda x: (-x[1], x[0])) for k, v in out.items()}
-
-
-def conforms(field: Column, value: Column, expressions: Mapping[str, Sequence[tuple[str, int]]]) -> Column:
-    """Does the value match its field's expression as a whole? False for a field without one."""
-    ok = F.lit(False)
-    for name, alternatives in expressions.items():
-        pattern = "^(?:" + "|".join(a for a, _ in alternatives) + r")\z"
-        ok = F.when(field == name, value.rlike(pattern)).otherwise(ok)
-    return F.coalesce(ok, F.lit(False))
-
-
-def broken(field: Column, value: Column, form_ok: Column, expressions: Mapping[str, Sequence[tuple[str, int]]]) -> Column:
-    """A value that isn't blank and lacks the column's form.
-
-    The induced expression finds the values that don't conform; where the caller declared the exact form of a column, that
-    check decides, both on values that the expression lets through and on those it rejects.
+                run = F.when(_loose(sig) == r["key"], F.regexp_extract(t, _group_regex(r["key"]), i + 1))
+            wanted.append(((r["field_name"], r["kind"], r["key"], i), run))
+    out: dict[tuple, tuple[str, int, float]] = {}
+    for at in range(0, len(wanted), 40):
+        part = wanted[at : at + 40]
+        named = rows.select(*[run.alias(f"r{k}") for k, (_, run) in enumerate(part)])
+        tops = named.agg(*[F.expr(f"approx_top_k(r{k}, 2, 1000) FILTER (WHERE r{k} IS NOT NULL)").alias(f"r{k}") for k in range(len(part))], *[F.avg(F.length(f"r{k}")).alias(f"l{k}") for k in range(len(part))]).head()
+        for k, (key, _) in enumerate(part):
+            best = [e for e in tops[f"r{k}"] or [] if e["item"] is not None]
+            if best:
+                out[key] = (best[0]["item"], best[0]["count"], tops[f"l{k}"])
+    return out
+
+
+def induce_expressions(rows: DataFrame, load: str, columns: Sequence[str], others: Mapping[str, Column] | None = None, lists: Mapping[str, Sequence[str]] | None = None, least_gain: float = LEAST_GAIN) -> dict[str, list[Alternative]]:
+    """For each column the alternatives of its expression, in the order in which they entered. No column without values has one.
+
+    others: what of the row a pattern may refer to, by name. lists: reference lists by name. Rows without a load count as a
+    load of their own.
     """
-    return ~is_blank(value) & ~F.when(form_ok.isNotNull(), form_ok).otherwise(conforms(field, value, expressions))
+    others, lists = others or {}, {n: [v for v in dict.fromkeys(vs) if v is not None] for n, vs in (lists or {}).items()}
+    lists = {n: vs for n, vs in lists.items() if vs}
+    if any(len(v) > MOST_LISTED for v in lists.values()):
+        raise ValueError(f"a reference list has more than {MOST_LISTED} values")
+    counts = durable(signature_counts(rows, load, columns, others, lists))
+    found = _candidates(counts, least_gain)
+    common = _common_runs(rows, columns, others, found)
+    alternatives: dict[str, dict[tuple, tuple[Alternative, float, float]]] = {}
+    for r in found:
+        per_row, share = r["chars"] / r["n"], 1.0
+        if r["kind"] == "list":
+            alternative, bits = Alternative(r["key"], True, r["n"]), math.log2(max(2, len(lists[r["key"]])))
+        else:
+            loose, bits, literal = r["kind"] == "loose", 0.0, {}
+            for i, (kind, _, length) in enumerate(_runs(r["key"])):
+                if kind not in _CLASSES:
+                    continue
+                text, n, mean = common.get((r["field_name"], r["kind"], r["key"], i), ("", 0, 1.0))
+                opened = mean * _CLASSES[kind][1] + 2 * math.log2(mean + 1) + 1 if loose else length * _CLASSES[kind][1]
+                # Literal where writing out the rows that have something else costs less than leaving the run open.
+                if text and max(0.0, 1 - n / r["n"]) * 8 * per_row < opened:
+                    literal[i] = text
+                    share *= min(1.0, n / r["n"])
+                else:
+                    bits += opened
+            alternative = Alternative(_regex(r["key"], loose, literal), False, r["n"])
+        alternatives.setdefault(r["field_name"], {})[r["kind"], r["key"]] = (alternative, bits, share)
+    if not alternatives:
+        return {}
+    keys = {k: [r["key"] for r in found if r["kind"] == k] for k in ("list", "fixed", "loose")}
+    kept = lambda c, kind: F.when(c.isin(keys[kind]), c) if keys[kind] else F.lit(None).cast("string")
+    combined = counts.groupBy("load", "field_name", kept(F.col("listed"), "list").alias("list"), kept(F.col("sig"), "fixed").alias("fixed"), kept(_loose(F.col("sig")), "loose").alias("loose")).agg(F.sum("n").alias("n"), F.sum(8 * F.length("sig") * F.col("n")).alias("bits"))
+    cells: dict[str, list] = {}
+    for r in combined.collect():  # for each load what the few alternatives have in common, and the rest
+        cells.setdefault(r["field_name"], []).append(r)
+    return {f: _chosen(alternatives[f], cells[f], least_gain) for f in columns if f in alternatives}
+
+
+def _chosen(alternatives: Mapping[tuple, tuple[Alternative, float, float]], cells: list, least_gain: float) -> list[Alternative]:
+    """The alternatives that enter. alternatives: by kind and key, with the bits of a row and the share of its class that has the literal runs."""
+    whole: dict = {}
+    left = [r.asDict() for r in cells]
+    for r in left:
+        whole[r["load"]] = whole.get(r["load"], 0) + r["bits"]
+    chosen: list[Alternative] = []
+    while True:
+        best, best_gain = None, 0.0
+        naming = math.log2(len(chosen) + 2)
+        for key, (alternative, bits, share) in sorted(alternatives.items()):
+            if alternative in chosen:
+                continue
+            saved: dict = {}
+            for r in left:
+                if r[key[0]] == key[1]:
+                    saved[r["load"]] = saved.get(r["load"], 0.0) + share * (r["bits"] - (bits + naming) * r["n"])
+            gain = sum(saved.values()) - 8 * len(alternative.text)
+            if gain > best_gain and 2 * sum(s >= least_gain * whole[at] for at, s in saved.items()) > len(whole):
+                best, best_gain = key, gain
+        if best is None:
+            return chosen
+        alternative, _, share = alternatives[best]
+        chosen.append(alternative)
+        for r in left:
+            if r[best[0]] == best[1]:
+                r["bits"], r["n"] = r["bits"] * (1 - share), r["n"] * (1 - share)
+
+
+def readable(alternative: Alternative, others: Sequence[str]) -> str:
+    """The alternative with its placeholders by name."""
+    if alternative.is_list:
+        return "{" + alternative.text + "}"
+    out = alternative.text
+    for i, name in enumerate(others):
+        out = out.replace(_mark(i), "{" + name + "}")
+    return out
+
+
+def conforming(columns: Sequence[str], expressions: Expressions, others: Mapping[str, Column] | None = None, lists: Mapping[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """For each column: does its value match its expression as a whole? False without an expression; never null."""
+    out = {}
+    for c, (v, t) in _fields(columns, others or {}).items():
+        ok, texts = F.lit(False), [a.text for a in expressions.get(c, ()) if not a.is_list]
+        for a in expressions.get(c, ()):
+            if a.is_list:
+                ok = ok | v.isin(list((lists or {})[a.text]))
+        if texts:
+            refers = any(_mark(i) in x for x in texts for i in range(len(others or {})))
+            ok = ok | (t if refers else v).rlike("^(?:" + "|".join(texts) + r")\z")
+        out[c] = F.coalesce(ok, F.lit(False))
+    return out
 
 
-def deviating_loads(counts: DataFrame, bad: Column, load: str, step: float = SHARE_STEP) -> DataFrame:
-    """(load, field_name, measure) where the share of blanks, of broken values or of one value differs from its median over all loads by more than `step`.
+def checked(rows: DataFrame, ids: Sequence[str], columns: Sequence[str], fits: Mapping[str, Column]) -> DataFrame:
+    """(ids..., field_name, h, bad) with one row for each row and column; h is a hash of the value, null for a blank."""
+    cell = lambda c: F.struct(F.lit(c).alias("field_name"), F.when(~is_blank(F.col(c).cast("string")), F.xxhash64(c)).alias("h"), (~is_blank(F.col(c).cast("string")) & ~fits[c]).alias("bad"))
+    return rows.select(*ids, F.explode(F.array(*[cell(c) for c in columns])).alias("_x")).select(*ids, "_x.*")
+
+
+def load_shares(cells: DataFrame, load: str) -> DataFrame:
+    """(load, field_name, n_rows, n_blank, n_bad): the coverage of the expressions and the blanks of each load."""
+    return cells.groupBy(load, "field_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("h").isNull()).alias("n_blank"), F.count_if("bad").alias("n_bad"))
+
+
+def _heavy_values(rows: DataFrame, load: str, columns: Sequence[str], step: float) -> DataFrame:
+    """(field_name, h) of each value that may hold more than `step` of some load: sketches of a load find all that do, and at most 1 / step a field beside those near it."""
+    hashed = rows.select(load, *[F.when(~is_blank(F.col(c).cast("string")), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(columns)])
+    k = math.ceil(2 / step)
+    tops = hashed.groupBy(load).agg(F.count("*").alias("n"), *[F.expr(f"approx_top_k(h{i}, {k}, 1000)").alias(f"t{i}") for i in range(len(columns))])
+    each = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"t{i}").alias("top")) for i, c in enumerate(columns)])
+    named = tops.select("n", F.explode(each).alias("x")).select("n", "x.field_name", F.explode("x.top").alias("e"))
+    return named.filter((F.col("e.count") > (step - 0.01) * F.col("n")) & F.col("e.item").isNotNull()).select("field_name", F.col("e.item").alias("h")).distinct()
+
+
+def deviating_loads(rows: DataFrame, cells: DataFrame, load: str, columns: Sequence[str], step: float = SHARE_STEP) -> DataFrame:
+    """(load, field_name, measure, share, usual) where the share of blanks, of rows that break the expression or of one value differs from its median over all loads by more than `step`.
 
     A load without the value has share 0. A share that is at most `step` in every load can't differ by more, so only the
-    values above it in some load, fewer than 1 / step a load and field, go into the medians.
+    values above it in some load, fewer than 1 / step a load and field, are counted.
     """
-    blank = is_blank(F.col("value"))
-    rows = counts.groupBy(load, "field_name").agg(F.sum("n").alias("rows"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blank"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("broken"))
-    whole = rows.select(load, "field_name", F.explode(F.array(F.struct(F.lit("blank").alias("measure"), F.col("blank").alias("n")), F.struct(F.lit("broken").alias("measure"), F.col("broken").alias("n")))).alias("m")).select(load, "field_name", "m.*")
-    one = counts.filter(~blank).groupBy(load, "field_name", F.concat(F.lit("value:"), F.col("value")).alias("measure")).agg(F.sum("n").alias("n"))
-    shares = whole.unionByName(one).join(F.broadcast(rows.select(load, "field_name", "rows")), [load, "field_name"]).withColumn("share", F.col("n") / F.col("rows"))
-    high = shares.filter(F.col("share") > step).select("field_name", "measure").distinct()
-    every = rows.select(load, "field_name").join(high, "field_name")
-    filled = every.join(shares.select(load, "field_name", "measure", "share"), [load, "field_name", "measure"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    median = filled.groupBy("field_name", "measure").agg(F.median("share").alias("usual"))
-    return filled.join(F.broadcast(median), ["field_name", "measure"]).filter(F.abs(F.col("share") - F.col("usual")) > step + 1e-12).select(load, "field_name", "measure", "share", "usual")
-
-
-def registry_forms(registry: DataFrame, transaction_types: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """The registry with the exact forms of its profiled columns. The types are a short fixed list, compared as literals."""
-    types = [r[0] for r in transaction_types.select("type_name").distinct().limit(10_001).collect() if r[0] is not None]
-    if len(types) > 10_000:
-        raise ValueError("transaction_types is no short list of types")
-    no = F.coalesce
-    return registry, {
-        "transaction_type": no(F.col("transaction_type").isin(types), F.lit(False)),
-        "emb_id": no(F.col("emb_id").rlike(r"^EMBR1-[0-9]{7}-[0-9]{2}\z"), F.lit(False)),
-        "attachment_ref": no(F.col("attachment_ref") == F.concat(canonical_no(F.col("iis_no")), F.lit("/")), F.lit(False)),
-    }
-
-
-def registry_cases(registry: DataFrame, transaction_types: DataFrame) -> DataFrame:
-    """(load_no, field_name, row_no): broken values with their row, deviating loads with row_no 0.
-
-    Values count as stored. Null, empty and space-only values are blank and never broken. A row without a document number
-    makes any attachment_ref that isn't blank broken. Empty input gives no rows; further columns are ignored.
+    sizes = durable(load_shares(cells, load))  # one row a load and field
+    m = lambda name, c: F.struct(F.lit(name).alias("measure"), F.col(c).alias("n"))
+    whole = sizes.select(load, "field_name", "n_rows", F.explode(F.array(m("blank", "n_blank"), m("broken", "n_bad"))).alias("m")).select(load, "field_name", "n_rows", "m.*")
+    heavy = durable(_heavy_values(rows, load, columns, step))  # fewer than 1 / step a load and field
+    one = cells.join(heavy, ["field_name", "h"]).groupBy(load, "field_name", "h").agg(F.count("*").alias("n"))
+    every = sizes.select(load, "field_name", "n_rows").join(heavy, "field_name").join(one, [load, "field_name", "h"], "left")
+    every = every.select(load, "field_name", "n_rows", F.concat(F.lit("value "), F.col("h").cast("string")).alias("measure"), F.coalesce("n", F.lit(0)).alias("n"))
+    shares = whole.unionByName(every).withColumn("share", F.col("n") / F.col("n_rows"))
+    median = shares.groupBy("field_name", "measure").agg(F.median("share").alias("usual"))
+    return shares.join(median, ["field_name", "measure"]).filter(F.abs(F.col("share") - F.col("usual")) > step + 1e-12).select(load, "field_name", "measure", "share", "usual")
+
+
+CASE_COLUMNS = ("transaction_type", "emb_id", "attachment_ref")
+
+
+def registry_terms(registry: DataFrame, transaction_types: DataFrame) -> tuple[dict[str, Column], dict[str, list[str]]]:
+    """What a pattern of the registry may refer to, and its reference list: a short fixed table."""
+    types = [r[0] for r in transaction_types.select("type_name").distinct().limit(MOST_LISTED + 1).collect()]
+    return {"iis_no": canonical_no(F.col("iis_no"))}, {"transaction_types": types}
+
+
+def registry_expressions(registry: DataFrame, transaction_types: DataFrame, columns: Sequence[str] = CASE_COLUMNS) -> dict[str, list[Alternative]]:
+    """The induced expressions of the registry's columns: a pattern may refer to the row's document number, a column to the list of types."""
+    others, lists = registry_terms(registry, transaction_types)
+    return induce_expressions(registry, "load_no", columns, others, lists)
+
+
+def registry_cases(registry: DataFrame, transaction_types: DataFrame, expressions: Expressions | None = None) -> DataFrame:
+    """(load_no, field_name, row_no): rows whose value breaks the column's induced expression, and, with row_no 0, loads that differ from the others.
+
+    Values count as stored. Null, empty and space-only values are blank and never break anything. A row without a document
+    number can't match a pattern that refers to it. Empty input gives no rows; further columns are ignored.
     """
-    registry, forms = registry_forms(registry, transaction_types)
-    cells = unpivoted(registry, ["load_no", "row_no"], list(forms), forms)
-    counts = durable(value_counts(cells, "load_no"))  # read by the induction, the loads' shares and their medians
-    expressions = induce_expressions(counts)
-    bad = broken(F.col("field_name"), F.col("value"), F.col("form_ok"), expressions)
-    rows = cells.filter(bad).select("load_no", "field_name", "row_no").distinct()
-    loads = deviating_loads(counts, bad, "load_no").select("load_no", "field_name", F.lit(0).alias("row_no")).distinct()
+    others, lists = registry_terms(registry, transaction_types)
+    found = induce_expressions(registry, "load_no", CASE_COLUMNS, others, lists) if expressions is None else expressions
+    fits = conforming(CASE_COLUMNS, found, others, lists)
+    cells = checked(registry, ["load_no", "row_no"], CASE_COLUMNS, fits)
+    rows = cells.filter("bad").select("load_no", "field_name", "row_no").distinct()
+    loads = deviating_loads(registry, cells, "load_no", CASE_COLUMNS).select("load_no", "field_name", F.lit(0).alias("row_no")).distinct()
     return rows.unionByName(loads)
 
 
-def profile(rows: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """Per load and column: rows, blanks, distinct values, least and greatest value, lengths, and the share of the values that aren't blank and match the induced expression."""
-    counts = durable(value_counts(unpivoted(rows, [load], columns), load))
-    expressions = induce_expressions(counts)
-    blank = is_blank(F.col("value"))
-    filled = F.when(~blank, F.col("value"))
-    fits = conforms(F.col("field_name"), F.col("value"), expressions)
-    whole = F.lit(None).cast("string")
-    for name, alternatives in expressions.items():
-        whole = F.when(F.col("field_name") == name, F.lit("|".join(a for a, _ in alternatives))).otherwise(whole)
-    n = F.col("n")
-    out = counts.groupBy(load, "field_name").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("n_null"), F.sum(F.when(blank, n).otherwise(0)).alias("n_blank"),
-        F.count_distinct(filled).alias("n_values"), F.min(filled).alias("least"), F.max(filled).alias("greatest"), F.min(F.length(filled)).alias("shortest"), F.max(F.length(filled)).alias("longest"),
-        F.sum(F.when(fits & ~blank, n).otherwise(0)).alias("n_fit"),
+def coverage(rows: DataFrame, load: str, columns: Sequence[str], expressions: Expressions, others: Mapping[str, Column] | None = None, lists: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(load, field_name, expression, n_filled, n_fit, coverage, usual, differs): what each load's values have of the expression, against the median of all loads.
+
+    coverage is the share of all rows that don't break the expression, as the cases count it.
+    """
+    sizes = load_shares(checked(rows, [load], columns, conforming(columns, expressions, others, lists)), load)
+    sizes = sizes.withColumn("coverage", F.round(1 - F.col("n_bad") / F.col("n_rows"), 6))
+    median = sizes.groupBy("field_name").agg(F.round(F.median("coverage"), 6).alias("usual"))
+    named = F.lit(None).cast("string")
+    for c in columns:
+        if expressions.get(c):
+            named = F.when(F.col("field_name") == c, F.lit(" | ".join(readable(a, list(others or {})) for a in expressions[c]))).otherwise(named)
+    n_filled = F.col("n_rows") - F.col("n_blank")
+    return sizes.join(median, "field_name").select(
+        load, "field_name", named.alias("expression"), n_filled.alias("n_filled"), (n_filled - F.col("n_bad")).alias("n_fit"), "coverage", "usual", (F.abs(F.col("coverage") - F.col("usual")) > SHARE_STEP).alias("differs")
     )
-    return out.withColumn("coverage", F.round(F.col("n_fit") / F.nullif(F.col("n_rows") - F.col("n_blank"), F.lit(0)), 6)).withColumn("expression", whole)
+
+
+def profile(rows: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """Per load and column: rows, nulls, blanks, distinct values (by a 64-bit hash), least and greatest value as text, and lengths.
+
+    Hashes of values are counted by (load, column, hash); the rest are plain aggregates of each task.
+    """
+    text = {c: F.when(~is_blank(F.col(c).cast("string")), F.col(c).cast("string")) for c in columns}
+    cell = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(text[c]).alias("h")) for i, c in enumerate(columns)])
+    none = F.xxhash64(F.lit(None).cast("string"))
+    distinct = rows.select(load, F.explode(cell).alias("x")).select(load, "x.*").filter(F.col("h") != none).groupBy(load, "i", "h").agg(F.lit(1)).groupBy(load, "i").agg(F.count("*").alias("n_values"))
+    wide = rows.groupBy(load).agg(F.count("*").alias("n_rows"), *[
+        a.alias(f"{n}{i}") for i, c in enumerate(columns)
+        for n, a in (("null", F.count_if(F.col(c).isNull())), ("filled", F.count(text[c])), ("least", F.min(text[c])), ("greatest", F.max(text[c])), ("shortest", F.min(F.length(text[c]))), ("longest", F.max(F.length(text[c]))))
+    ])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("field_name"), F.col(f"null{i}").alias("n_null"), (F.col("n_rows") - F.col(f"filled{i}")).alias("n_blank"), *[F.col(f"{n}{i}").alias(n) for n in ("least", "greatest", "shortest", "longest")]) for i, c in enumerate(columns)])
+    tall = wide.select(load, "n_rows", F.explode(each).alias("x")).select(load, "n_rows", "x.*")
+    return tall.join(distinct, [load, "i"], "left").select(load, "field_name", "n_rows", "n_null", "n_blank", F.coalesce("n_values", F.lit(0)).alias("n_values"), "least", "greatest", "shortest", "longest")

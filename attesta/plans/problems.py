@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.operators import orphans as o, profile as p, snapshots as s
 from attesta.sources.tables import table
@@ -20,12 +20,28 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return o.orphan_report(_orphans(spark, d))
 
 
+def p1_filter(spark: SparkSession, d: str) -> DataFrame:
+    """What the filter proves by itself: at least nine tenths of the missing references of each table?"""
+    judged = o.judged_references(table(spark, d, "verify_log"), table(spark, d, "pages"), table(spark, d, "registry"), table(spark, d, "registry_removals"))
+    return o.filter_report(judged).withColumn("mostly_proved", F.col("n_proved") >= 0.9 * F.col("n_missing")).drop("n_proved")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p.registry_cases(table(spark, d, "registry"), table(spark, d, "transaction_types"))
 
 
+PROFILED = ("iis_no", "subject_name", "company_name", "address", "emb_id", "transaction_type", "attachment_ref", "source", "first_seen", "last_verified", "row_no")
+
+
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    return p.profile(table(spark, d, "registry"), "load_no", ["iis_no", "subject_name", "company_name", "address", "emb_id", "transaction_type", "attachment_ref", "source"])
+    return p.profile(table(spark, d, "registry"), "load_no", PROFILED)
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The induced expressions, and how much of each load they cover."""
+    registry, types = table(spark, d, "registry"), table(spark, d, "transaction_types")
+    others, lists = p.registry_terms(registry, types)
+    return p.coverage(registry, "load_no", p.CASE_COLUMNS, p.registry_expressions(registry, types), others, lists)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +52,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return s.change_counts(p4_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_profile, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_filter, p3_found, p3_profile, p3_coverage, p4_found, p4_counts)}
 
 
 def _canon(c: str) -> str:
@@ -67,6 +83,22 @@ _CELLS = f"""
   UNION ALL SELECT load_no, row_no, 'emb_id', emb_id, coalesce(regexp_full_match(emb_id, 'EMBR1-[0-9]{{7}}-[0-9]{{2}}'), false) FROM registry
   UNION ALL SELECT load_no, row_no, 'attachment_ref', attachment_ref, coalesce(attachment_ref = {_canon('iis_no')} || '/', false) FROM registry
 """
+_COVERAGE = f"""
+WITH cells AS ({_CELLS}), n AS (
+  SELECT load_no, f, count(*) AS n, count(*) FILTER (NOT ({_BLANK})) AS n_filled, count(*) FILTER (NOT ({_BLANK}) AND NOT ok) AS n_bad FROM cells GROUP BY 1, 2
+), c AS (SELECT *, round(1 - n_bad / CAST(n AS DOUBLE), 6) AS coverage FROM n), m AS (SELECT f, round(median(coverage), 6) AS usual FROM c GROUP BY 1)
+SELECT load_no, c.f AS field_name,
+  CASE c.f WHEN 'transaction_type' THEN '{{transaction_types}}' WHEN 'emb_id' THEN 'EMBR1\\-[0-9]{{7}}\\-[0-9]{{2}}' ELSE '{{iis_no}}/' END AS expression,
+  n_filled, n_filled - n_bad AS n_fit, coverage, usual, abs(coverage - usual) > 0.2 AS differs
+FROM c JOIN m ON c.f = m.f
+"""
+_TEXTS = {c: c for c in PROFILED} | {c: f"regexp_replace(strftime({c} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f'), '[.]?0{{1,6}}$', '')" for c in ("first_seen", "last_verified")} | {"row_no": "CAST(row_no AS VARCHAR)"}
+_PROFILE = " UNION ALL ".join(
+    f"SELECT load_no, '{c}' AS field_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(*) - count(nullif(trim(v), '')) AS n_blank, count(DISTINCT v) FILTER (trim(v) <> '') AS n_values, "
+    f"min(v) FILTER (trim(v) <> '') AS least, max(v) FILTER (trim(v) <> '') AS greatest, CAST(min(length(v)) FILTER (trim(v) <> '') AS INTEGER) AS shortest, CAST(max(length(v)) FILTER (trim(v) <> '') AS INTEGER) AS longest "
+    f"FROM (SELECT *, {v} AS v FROM registry) GROUP BY load_no"
+    for c, v in _TEXTS.items()
+)
 _P3 = f"""
 WITH cells AS ({_CELLS}), sized AS (SELECT load_no, f, count(*) AS n FROM cells GROUP BY 1, 2),
 m AS (
@@ -109,7 +141,10 @@ found AS (
 SQL = {
     "p1_found": _P1 + "SELECT src_table, ref_month, ref_key FROM found",
     "p1_report": _P1 + "SELECT src_table, ref_month, reason, count(*) AS n_references FROM found GROUP BY 1, 2, 3",
+    "p1_filter": _P1 + "SELECT src_table, count(*) AS n_references, count(*) FILTER (reason = 'missing') AS n_missing, true AS mostly_proved FROM judged GROUP BY 1",
     "p3_found": _P3,
+    "p3_profile": _PROFILE,
+    "p3_coverage": _COVERAGE,
     "p4_found": _P4 + "SELECT snapshot_no, iis_no, change_kind FROM found WHERE change_kind IS NOT NULL",
     "p4_counts": _P4 + "SELECT snapshot_no, change_kind, count(*) AS n_records FROM found WHERE change_kind IS NOT NULL GROUP BY 1, 2",
 }

@@ -1,19 +1,58 @@
-"""Cutting lineage with files that every executor can read."""
+"""Cutting lineage with tables that every executor can read."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application for intermediate tables, under spark.checkpoint.dir.
+
+    Where the session names no folder, one is made on this machine, which only a local session may do: on a cluster the
+    executors would not see it, so there it is an error. What is written is removed by `clear`, at the latest when the
+    driver ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="attesta-")
+        if not _made:
+            atexit.register(clear)
+        _made[app] = f"{base.rstrip('/')}/attesta-{app}"
+    return _made[app]
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder of spark.checkpoint.dir and read from there; losing an executor loses nothing of it.
+    """`df` written as a parquet table to the shared folder and read from there; losing an executor loses nothing of it.
 
-    Only where the session names no folder, as on one machine in tests, a temporary one is made.
+    The columns that a reader doesn't select are not read, and the table's size is known where a join is planned.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession | None = None) -> None:
+    """Remove the intermediate tables of this application. DataFrames that read them can't be used any more."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    path = _made.pop(spark.sparkContext.applicationId, None)
+    if path:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
