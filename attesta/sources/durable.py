@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _made: dict[str, str] = {}
 
@@ -56,3 +56,8 @@ def clear(spark: SparkSession | None = None) -> None:
     if path:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sized(written: DataFrame, most: int) -> DataFrame:
+    """A table just written by `durable`, marked for broadcast where it has at most `most` rows; beyond, joins shuffle it."""
+    return F.broadcast(written) if written.count() <= most else written
