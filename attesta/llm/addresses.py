@@ -1,12 +1,15 @@
 """Same postal address written differently (problem 2), in SQL expressions, numbers first.
 
-1. An address is cut into its numbers (house number, or lot and block; units, floors, rooms and stalls don't count), the
-   kind of street and its words. Words are brought to the spelling of the gazetteer, or of a word that is RATIO times as
-   common, where a symmetric-delete index finds it within one edit. What names the street is never made a word of another
-   part: the word before a kind of street, a second kind of street, or all that could name it.
-2. Equal results are one *form*; only forms are compared. Blocks are the sorted numbers plus one word; the words that few
-   forms have, and the most common words of an address (its town, its province) make no block.
-3. Two forms of a block are the same place when the rarity-weighted share of their common words is high, each word that is
+1. An address is cut into its numbers (house number, or lot and block; units, floors, rooms and stalls don't count) and its
+   words. Words are brought to the spelling of the gazetteer, or of a word that is RATIO times as common, where a
+   symmetric-delete index finds it within one edit. What names the street is never made a word of another part.
+2. Runs of words are looked up in the gazetteer, the longest first: barangay, town, province; numbers as zip codes. A
+   barangay of several towns is the one in the town that the address names; without one the place isn't known. What is left
+   over are the kind of street and the words that name it.
+3. Equal results are one *form*; only forms are compared. The block of a form is its sorted numbers, its town and its rarest
+   word. A form with a word in fewer than RATIO addresses, which may be a slip that has no common spelling, seeks its
+   partners by its other words too.
+4. Two forms of a block are the same place when the rarity-weighted share of their common words is high, each word that is
    left over on one side has a counterpart within two edits on the other, and kind of street, barangay and town agree as
    far as both have them.
 """
@@ -16,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions.keys import canonical_no
-from attesta.llm.spelling import spellings
-from attesta.sources.durable import durable
+from attesta.llm.pairs import classes, record_pairs
+from attesta.llm.spelling import RATIO, spellings
+from attesta.sources.durable import durable, sized
 
 # How the parts of an address are written.
 KINDS = {
@@ -27,121 +31,197 @@ KINDS = {
 NOISE = ("brgy", "bgy", "bo", "barangay", "city", "town", "municipality", "of", "no", "nr", "num", "number", "province", "the", "near", "philippines", "lot", "blk", "block")
 UNIT = r"\b(unit|rm|room|stall|suite|door|apt)\b\.?\s*(no\b\.?)?\s*#?\s*([0-9]+(\s?-\s?[a-z]\b|[a-z]\b)?|[a-z]\b)|\b(ground|upper|lower|[0-9]+(st|nd|rd|th))\s+(floor|flr|fl)\b\.?|\b[0-9]+\s?/\s?f\b|\b(floor|flr)\s*[0-9]+\b"
 LOT, BLOCK = r"\b(?:lot|l)\b?\.?\s*#?([0-9]+)\b", r"\b(?:block|blk|b)\b?\.?\s*#?([0-9]+)\b"
+_WORD = r"((?<![\p{L}0-9])[0-9]+(?:st|nd|rd|th)(?![\p{L}0-9])|\p{L}+)"
 
 #: Share of the weight of the words that the forms have in common; a word with a counterpart within EDITS counts half.
 LEAST_OVERLAP = 0.55
 EDITS = 2
-
-
-def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
+#: Tables of words and places are broadcast up to so many rows (some 100 bytes each), else joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def parsed(addresses: DataFrame, text: str = "address") -> DataFrame:
-    """`addresses` with nums (the sorted numbers, 'l..b..' for lot and block), zips and words; no row for an address without a number or a word."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[\s ]+", " "), UNIT, " ")
+    """`addresses` with lot_block ('l..b..', null without), digits (the other numbers) and words, in their order; no row for an address without a number."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[\s ]+", " "), UNIT, " ")
     lot, block = F.regexp_extract("_t", LOT, 1), F.regexp_extract("_t", BLOCK, 1)
     both = (lot != "") & (block != "")
     rest = F.when(both, F.regexp_replace(F.regexp_replace("_t", LOT, " "), BLOCK, " ")).otherwise(F.col("_t"))
     digits = F.regexp_extract_all("_r", F.lit(r"(?<![a-z0-9])([0-9]+[a-z]?)(?![a-z0-9])"), 1)
-    plain = F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=[0-9])", ""))
-    out = addresses.withColumn("_t", t).withColumn("_l", F.when(both, F.concat(F.lit("l"), lot.cast("string"), F.lit("b"), block.cast("string")))).withColumn("_r", rest)
-    out = out.withColumn("_d", plain).withColumn("words", F.array_distinct(F.regexp_extract_all("_r", F.lit(r"(\p{L}+)"), 1)))
-    return out.drop("_t", "_r").filter(F.col("_l").isNotNull() | (F.size("_d") > 0))
+    out = addresses.withColumn("_t", t).withColumn("lot_block", F.when(both, F.concat(F.lit("l"), lot, F.lit("b"), block))).withColumn("_r", rest)
+    out = out.withColumn("digits", F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=[0-9])", ""))).withColumn("words", F.regexp_extract_all("_r", F.lit(_WORD), 1))
+    return out.drop("_t", "_r").filter(F.col("lot_block").isNotNull() | (F.size("digits") > 0))
+
+
+def gazetteer(barangays: DataFrame) -> DataFrame:
+    """(gram, role, barangay, town): each name of a place as its words, each zip, and the single words of provinces, which alone say nothing."""
+    name = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(_WORD), 1), " ")
+    b = barangays.select(name(F.col("barangay")).alias("b"), name(F.col("town")).alias("t"), name(F.col("province")).alias("p"), F.trim("zip").alias("z"))
+    none = F.lit(None).cast("string")
+    row = lambda gram, role, barangay, town: F.struct(gram.alias("gram"), F.lit(role).alias("role"), barangay.alias("barangay"), town.alias("town"))
+    whole = F.array(row(F.col("b"), "b", F.col("b"), F.col("t")), row(F.col("t"), "t", none, F.col("t")), row(F.col("p"), "p", none, none), row(F.col("z"), "z", none, F.col("t")))
+    words = F.transform(F.split("p", " "), lambda w: row(w, "p", none, none))
+    return b.select(F.explode(F.concat(whole, words)).alias("x")).select("x.*").filter("gram <> ''").distinct()
+
+
+def vocabulary(split: DataFrame, places: DataFrame) -> DataFrame:
+    """(w, good, n, n_good, dropped, to_kind, spoken) for each word: its right spelling if it is a slip, how many addresses have a word of that spelling, and whether that is a word of a place, a kind or noise."""
+    spoken = split.sparkSession.createDataFrame([(w,) for w in sorted({*KINDS, *NOISE})], "w string")
+    place_words = places.filter("role <> 'z'").select(F.explode(F.split("gram", " ")).alias("w"))
+    known = place_words.unionByName(spoken).distinct()
+    counts = durable(split.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    fixes = durable(spellings(counts, known.filter(F.length("w") > 3)))
+    meant = counts.join(fixes, "w", "left").withColumn("final", F.coalesce("good", "w"))
+    of = meant.groupBy("final").agg(F.sum("n").alias("total"))
+    out = meant.join(of, "final").join(of.select(F.col("final").alias("w"), F.col("total").alias("own")), "w", "left").join(known.select(F.col("w").alias("final"), F.lit(True).alias("is_known")), "final", "left")
+    good = F.col("good")
+    return out.select("w", "good", F.coalesce("own", "n").alias("n"), F.col("total").alias("n_good"), F.coalesce("is_known", F.lit(False)).alias("dropped"), F.coalesce(good.isin([*KINDS]), F.lit(False)).alias("to_kind"), F.coalesce(good.isin([*KINDS, *NOISE]), F.lit(False)).alias("spoken"))
+
+
+def _kind_of(w: Column) -> Column:
+    return F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[w]
+
+
+def _spelled(split: DataFrame, words: DataFrame) -> DataFrame:
+    """`split` with words as (pos, w, n), in their right spelling."""
+    each = split.select("id", F.posexplode("words").alias("pos", "w")).join(words, "w", "left")
+    each = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "good", "n", "n_good", "dropped", "to_kind", "spoken"))).alias("x"))
+    kinds = [*KINDS]
+    kinded = F.exists("x", lambda e: e["w"].isin(kinds))
+    names = lambda e: F.coalesce(F.get("x", e["pos"] + 1)["w"].isin(kinds), F.lit(False))  # noqa: E731  the word before a kind names the street
+    may = lambda e: e["good"].isNotNull() & ~(e["dropped"] & (names(e) | (e["to_kind"] & F.col("kinded"))))
+    each = each.withColumn("kinded", kinded)
+    each = each.withColumn("x", F.transform("x", lambda e: F.struct(e["pos"].alias("pos"), e["w"].alias("w"), F.when(may(e), e["good"]).alias("good"), e["n"].alias("n"), e["n_good"].alias("n_good"), e["dropped"].alias("dropped"), e["spoken"].alias("spoken"))))
+    # Where no word would be left to name the street, what looks like a slip of a spoken word, or of one that is there too, is the name.
+    left = F.exists("x", lambda e: ~F.when(e["good"].isNotNull(), e["dropped"]).otherwise(e["dropped"] & e["good"].isNull() & e["w"].isin([*KINDS, *NOISE])))
+    named = F.exists("x", lambda e: ~e["dropped"] | (names(e) & e["good"].isNull()))
+    written = F.transform("x", lambda e: e["w"])
+    keeps = lambda e: ~(F.col("named") & F.col("left")) & (e["spoken"] | F.array_contains(F.col("written"), e["good"]))
+    each = each.withColumn("written", written).withColumn("named", named).withColumn("left", left)
+    final = F.transform("x", lambda e: F.when(e["good"].isNotNull() & ~keeps(e), F.struct(e["pos"].alias("pos"), e["good"].alias("w"), e["n_good"].alias("n"))).otherwise(F.struct(e["pos"].alias("pos"), e["w"].alias("w"), e["n"].alias("n"))))
+    return split.drop("words").join(each.select("id", final.alias("words")), "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<pos:int,w:string,n:bigint>>")))
+
+
+def _placed(spelled: DataFrame, places: DataFrame, longest: int) -> DataFrame:
+    """`spelled` with `found`: its runs of words and its numbers that the gazetteer has. A run before a kind of street names the street."""
+    size = F.size("words")
+    gram = lambda i, n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.transform(F.slice("words", i + 1, n), lambda e: e["w"]), " ").alias("gram"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: gram(i, n))).otherwise(F.array().cast("array<struct<at:int,n:int,gram:string>>"))))
+    runs = F.filter(runs, lambda e: F.coalesce(~F.get("words", e["at"] + e["n"])["w"].isin([*KINDS]), F.lit(True)))
+    zips = F.transform("digits", lambda d: F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), d.alias("gram")))
+    each = spelled.select("id", F.explode(F.concat(runs, zips)).alias("e")).select("id", "e.*").join(places, "gram").filter((F.col("role") == "z") == (F.col("at") < 0))
+    found = each.groupBy("id").agg(F.collect_list(F.struct("at", "n", "gram", "role", "barangay", "town")).alias("found"))
+    out = spelled.join(found, "id", "left")
+    return out.withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
 
 
 def forms(records: DataFrame, barangays: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, forms). members: (key, form), distinct. forms: (form, nums, kind, street, barangay, town).
+    """(members, forms). members: (key, form), distinct. forms: (form, nums, kind, street, barangay, town); street is an array of (w, n).
 
     records: (key, address); rows with a null key or address, and addresses that name no single place, drop out.
-    barangays: (barangay, town, province, zip), a short fixed list.
+    barangays: (barangay, town, province, zip).
     """
-    known_words = lambda c: barangays.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)).alias("w")).distinct()
-    places = barangays.select(F.lower("barangay").alias("barangay"), F.lower("town").alias("town"), "zip").distinct().limit(100_001).collect()
-    if len(places) > 100_000:
-        raise ValueError("barangays is no short list of places")
-    province_words = [r[0] for r in known_words("province").collect()]
-    spoken = barangays.sparkSession.createDataFrame([(w,) for w in {*KINDS, *NOISE} if len(w) > 3] or [("",)], "w string")
-    known = known_words("barangay").unionByName(known_words("town")).unionByName(known_words("province")).unionByName(spoken).distinct()
-
+    places = durable(gazetteer(barangays))
+    longest = places.filter("role <> 'z'").agg(F.max(F.size(F.split("gram", " ")))).head()[0] or 1
     texts = records.filter(F.col("key").isNotNull() & F.col("address").isNotNull()).select("key", "address")
-    split = durable(parsed(texts.groupBy("address").agg(F.count("*").alias("_n"))).withColumn("id", F.xxhash64("address")).drop("_n"))
-    counts = split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    fixes = durable(spellings(counts, known))
-    # The barangay of an address says its town; so does its zip.
-    in_town = spoken.sparkSession.createDataFrame([(r["barangay"], r["town"]) for r in places], "barangay string, of_town string")
-    zip_town = {r["zip"]: r["town"] for r in places}
-    b_names, t_names = sorted({r["barangay"] for r in places}), sorted({r["town"] for r in places})
-    zips = sorted(zip_town)
-
-    lit_array = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-    first = lambda a: F.element_at(F.when(F.size(a) > 0, a), 1)
-    drop = sorted({*KINDS, *NOISE, *province_words, *b_names, *t_names})
-    w, good, is_kind = F.col("w"), F.col("good"), lambda c: c.isin([*KINDS])
-    fixes = fixes.select("w", "good", good.isin(drop).alias("dropped"), is_kind(good).alias("to_kind"), good.isin([*KINDS, *NOISE]).alias("spoken"))
-    before_kind = F.filter("words", lambda x, i: is_kind(F.get("words", i + 1)))
-    each = split.select("id", F.exists("words", is_kind).alias("kinded"), before_kind.alias("names"), F.explode("words").alias("w")).select("id", "kinded", F.array_contains("names", w).alias("names"), "w").join(fixes, "w", "left")
-    each = each.withColumn("good", F.when(~(F.col("dropped") & (F.col("names") | (F.col("to_kind") & F.col("kinded")))), good))
-    each = each.groupBy("id").agg(F.collect_set(F.struct("w", "good", (good.isNotNull() & F.col("spoken")).alias("spoken"))).alias("x"))
-    streets = lambda ws: F.array_sort(F.filter(F.array_except(ws, lit_array(drop)), lambda x: F.length(x) > 2))
-    fixed = F.array_distinct(F.transform("x", lambda e: F.coalesce(e["good"], e["w"])))
-    written = F.array_distinct(F.transform("x", lambda e: F.when(e["spoken"] | F.array_contains(F.transform("x", lambda o: o["w"]), e["good"]), e["w"]).otherwise(F.coalesce(e["good"], e["w"]))))
-    each = each.select("id", F.when(F.size(streets(fixed)) > 0, fixed).otherwise(written).alias("words"))
-    f = split.drop("words").join(each, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    f = f.withColumn("barangay", first(F.array_sort(F.array_intersect("words", lit_array(b_names)))))
-    f = f.withColumn("zip", first(F.array_intersect("_d", lit_array(zips)))).withColumn("_d", F.array_except("_d", lit_array(zips)))
-    f = f.withColumn("town", first(F.array_sort(F.array_intersect("words", lit_array(t_names)))))
-    f = f.join(F.broadcast(in_town), "barangay", "left").withColumn("town", F.coalesce("of_town", "town", _literal_map(zip_town)[F.col("zip")] if zip_town else F.lit(None).cast("string")))
-    f = f.withColumn("kind", first(F.array_sort(F.filter(F.transform("words", lambda w: _literal_map(KINDS)[w]), lambda k: k.isNotNull()))))
-    f = f.withColumn("street", streets(F.col("words")))
-    f = f.withColumn("nums", F.coalesce("_l", F.nullif(F.array_join(F.array_sort("_d"), ","), F.lit("")))).filter(F.col("nums").isNotNull() & (F.size("street") > 0) & F.col("town").isNotNull())
-    named = f.select("address", "nums", "kind", "street", "barangay", "town", F.xxhash64("nums", F.coalesce("kind", F.lit("-")), F.array_join("street", " "), F.coalesce("barangay", F.lit("-")), "town").alias("form"))
-    named = durable(named)
-    members = texts.join(named.select("address", "form"), "address").select("key", "form").distinct()
-    return members, named.drop("address").dropDuplicates(["form"])
+    split = durable(parsed(texts.select("address").distinct()).withColumn("id", F.xxhash64("address")).drop("address"))
+    words = sized(durable(vocabulary(split, places)), BROADCAST_ROWS)
+    f = _placed(_spelled(split, words), sized(places, BROADCAST_ROWS), longest)
+
+    # Of overlapping names the longest counts.
+    inside = lambda m, o: (o["n"] > m["n"]) & (o["at"] <= m["at"]) & (m["at"] + m["n"] <= o["at"] + o["n"])
+    f = f.withColumn("found", F.filter("found", lambda m: ~F.exists("found", lambda o: inside(m, o))))
+    of = lambda role: F.filter("found", lambda m: m["role"] == role)
+    first = lambda a: F.get(F.array_sort(F.array_distinct(a)), F.lit(0))
+    f = f.withColumn("said", F.transform(of("t"), lambda m: m["town"])).withColumn("by_zip", F.transform(of("z"), lambda m: m["town"]))
+    b = F.array_distinct(F.transform(of("b"), lambda m: F.struct(m["barangay"].alias("barangay"), m["town"].alias("town"))))
+    f = f.withColumn("b", b)
+    in_towns = lambda towns: F.filter("b", lambda m: F.array_contains(towns, m["town"]))
+    f = f.withColumn("fit", F.when(F.size(in_towns(F.col("said"))) > 0, in_towns(F.col("said"))).when(F.size(in_towns(F.col("by_zip"))) > 0, in_towns(F.col("by_zip"))).otherwise(F.col("b")))
+    # A barangay of several towns, none of which is named, is no known place.
+    unclear = (F.size("fit") > 0) & (F.size(in_towns(F.concat("said", "by_zip"))) == 0) & F.exists("fit", lambda m: F.exists("fit", lambda o: (m["barangay"] == o["barangay"]) & (m["town"] != o["town"])))
+    f = f.filter(~unclear).withColumn("barangay", first(F.col("fit"))["barangay"])
+    f = f.withColumn("town", F.coalesce(first(F.col("fit"))["town"], first(F.col("said")), first(F.col("by_zip"))))
+
+    placed = lambda i: F.exists("found", lambda m: (m["at"] >= 0) & (m["at"] <= i) & (i < m["at"] + m["n"]))
+    before_kind = lambda e: F.coalesce(F.get("words", e["pos"] + 1)["w"].isin([*KINDS]), F.lit(False))
+    f = f.withColumn("kind", first(F.filter(F.transform("words", lambda e: _kind_of(e["w"])), lambda k: k.isNotNull())))
+    free = F.filter("words", lambda e: ~placed(e["pos"]) & ~e["w"].isin([*KINDS, *NOISE]) & ((F.length(e["w"]) > 2) | before_kind(e)))
+    f = f.withColumn("street", F.array_sort(F.array_distinct(F.transform(free, lambda e: F.struct(e["w"].alias("w"), e["n"].alias("n"))))))
+    zips = F.transform(of("z"), lambda m: m["gram"])
+    f = f.withColumn("nums", F.coalesce("lot_block", F.nullif(F.array_join(F.array_sort(F.array_except("digits", zips)), ","), F.lit(""))))
+    # Without a town in the gazetteer only what names a kind of street or a lot is an address.
+    f = f.filter(F.col("nums").isNotNull() & (F.size("street") > 0) & (F.col("town").isNotNull() | F.col("kind").isNotNull()))
+    or_none = lambda c: F.coalesce(c, F.lit("-"))
+    form = F.xxhash64("nums", or_none("kind"), F.array_join(F.transform("street", lambda e: e["w"]), " "), or_none("barangay"), or_none("town")).alias("form")
+    named = durable(f.select("id", form, "nums", "kind", "street", "barangay", "town"))
+    members = texts.select("key", F.xxhash64("address").alias("id")).join(named.select("id", "form"), "id").select("key", "form").distinct()
+    return members, durable(named.drop("id").distinct())
+
+
+def weighed(forms_: DataFrame) -> DataFrame:
+    """`forms_` with f, the form as a struct whose words carry the logarithm of their rarity."""
+    total = F.lit(float(max(1, forms_.count())))
+    words = F.transform("street", lambda e: F.struct(e["w"].alias("w"), F.log(1 + total / e["n"]).cast("float").alias("weight")))
+    return forms_.withColumn("_s", words).withColumn("f", F.struct("form", "nums", "kind", "barangay", "town", F.col("_s").alias("street"))).drop("_s")
 
 
 def same_places(forms_: DataFrame) -> DataFrame:
-    """(a, b): pairs of different forms, a < b, that denote one place."""
-    total = F.lit(float(max(1, forms_.count())))
-    words = forms_.withColumn("w", F.explode(F.concat(F.col("street"), F.filter(F.array("barangay"), lambda x: x.isNotNull()))))
-    df = words.groupBy("w").agg(F.count("*").alias("n"))
-    weighed = words.join(df, "w").withColumn("weight", F.log(1 + total / F.col("n")))
-    blocks = weighed.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("weights")).join(forms_, "form")
-    blocks = blocks.withColumn("all", F.map_keys("weights"))
-    # The index carries hashes and what rules a pair out at once; words and weights join the pairs that are left.
-    index = words.select("form", F.xxhash64("nums", "w", "town").alias("block"), F.xxhash64("kind").alias("kind"), F.xxhash64("barangay").alias("barangay"), F.col("kind").isNull().alias("no_kind"), F.col("barangay").isNull().alias("no_barangay"))
+    """(a, b, ba, bb): pairs of different forms, a < b, that denote one place, and their barangays."""
+    key = lambda w: F.xxhash64("nums", F.coalesce("town", F.lit("-")), w)
+    f = weighed(forms_).withColumn("rare", F.array_min(F.transform("street", lambda e: F.struct((e["n"] < 2).alias("once"), e["n"].alias("n"), e["w"].alias("w"))))["w"])
+    row = [F.col("f")]
+    index = f.select(key(F.col("rare")).alias("block"), *row)
+    a, b = index.select("block", F.col("f").alias("a")), index.select("block", F.col("f").alias("b"))
+    met = a.join(b, "block").filter(F.col("a.form") < F.col("b.form"))
+    # What may hold a slip without a common spelling seeks by each other word, among all words of all forms.
+    words = lambda g: g.select(F.explode(F.transform("street", lambda e: e["w"])).alias("w"), "nums", "town", "rare", *row)
+    unsure = f.filter((F.size("street") > 1) & F.exists("street", lambda e: e["n"] < RATIO))
+    seek = durable(words(unsure).select(key(F.col("w")).alias("block"), F.col("f").alias("a")))
+    sought = words(f).select(key(F.col("w")).alias("block"), F.col("f").alias("b")).join(sized(seek, BROADCAST_ROWS), "block").filter(F.col("a.form") != F.col("b.form"))
+    met = met.select("a", "b").unionByName(sought.select("a", "b"))
+
+    return same_place(durable(met.filter(compatible())))
+
+
+def compatible() -> Column:
+    """Numbers and town of forms a and b are the same; kind and barangay as far as both have them."""
+    col = F.col
+    agree = lambda c: col(f"a.{c}").isNull() | col(f"b.{c}").isNull() | (col(f"a.{c}") == col(f"b.{c}"))
+    return (col("a.nums") == col("b.nums")) & col("a.town").eqNullSafe(col("b.town")) & agree("kind") & agree("barangay")
+
+
+def same_place(met: DataFrame) -> DataFrame:
+    """Of compatible candidates (a, b) those whose words are the same place, once each, as (a, b, ba, bb)."""
     col = F.col
-    agree = lambda c: col(f"a.no_{c}") | col(f"b.no_{c}") | (col(f"a.{c}") == col(f"b.{c}"))
-    near_by = index.alias("a").join(index.alias("b"), (col("a.block") == col("b.block")) & (col("a.form") < col("b.form")) & agree("kind") & agree("barangay"))
-    near_by = near_by.select(col("a.form").alias("fa"), col("b.form").alias("fb")).distinct()
-    detail = blocks.select("form", "nums", "street", "all", "weights", "town", "barangay")
-    pair = near_by.join(detail.alias("a"), col("fa") == col("a.form")).join(detail.alias("b"), col("fb") == col("b.form")).filter((col("a.nums") == col("b.nums")) & (col("a.town") == col("b.town")))
-    only_a, only_b = F.array_except("a.street", "b.street"), F.array_except("b.street", "a.street")
-    near = lambda x, ys: F.exists(ys, lambda y: F.levenshtein(x, y) <= EDITS)
-    weight = lambda ws, side: F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.coalesce(col(f"{side}.weights")[w], F.lit(0.0)))
-    common = weight(F.array_intersect("a.all", "b.all"), "a")
-    left_over = F.greatest(weight(only_a, "a"), weight(only_b, "b"))  # each of these has to have a counterpart, and counts half
-    pair = pair.filter(F.forall(only_a, lambda x: near(x, only_b)) & F.forall(only_b, lambda x: near(x, only_a)) & (common + 0.5 * left_over >= LEAST_OVERLAP * (common + left_over)))
-    return pair.select(col("a.form").alias("a"), col("b.form").alias("b"), col("a.barangay").alias("ba"), col("b.barangay").alias("bb"))
+    named = lambda s: F.transform(s, lambda e: e["w"])
+    common = F.array_intersect(named(col("a.street")), named(col("b.street")))
+    met = met.withColumn("common", common)
+    rest = lambda s: F.filter(s, lambda e: ~F.array_contains(col("common"), e["w"]))
+    met = met.withColumn("ra", rest(col("a.street"))).withColumn("rb", rest(col("b.street")))
+    weight = lambda s: F.aggregate(s, F.lit(0.0), lambda x, e: x + e["weight"])
+    near = lambda xs, ys: F.forall(xs, lambda x: F.exists(ys, lambda y: F.levenshtein(x["w"], y["w"]) <= EDITS))
+    shared = weight(F.filter(col("a.street"), lambda e: F.array_contains(col("common"), e["w"])))
+    left_over = F.greatest(weight(col("ra")), weight(col("rb")))  # each of these has to have a counterpart, and counts half
+    met = met.filter(near(col("ra"), col("rb")) & near(col("rb"), col("ra")) & (shared + 0.5 * left_over >= LEAST_OVERLAP * (shared + left_over)))
+    swap = col("a.form") > col("b.form")
+    pick = lambda x, y, c: F.when(swap, col(f"{y}.{c}")).otherwise(col(f"{x}.{c}"))
+    return met.select(pick("a", "b", "form").alias("a"), pick("b", "a", "form").alias("b"), pick("a", "b", "barangay").alias("ba"), pick("b", "a", "barangay").alias("bb")).distinct()
 
 
 def settled(pairs: DataFrame) -> DataFrame:
     """Pairs without those between a form that names no barangay and forms of several barangays: its place isn't known."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bb").alias("ba"), F.col("ba").alias("bb")))
-    vague = both.filter("ba IS NULL AND bb IS NOT NULL").groupBy("a").agg(F.count_distinct("bb").alias("n")).filter("n > 1").select(F.col("a").alias("v"))
+    both = pairs.select(F.explode(F.array(F.struct("a", "ba", "bb"), F.struct(F.col("b").alias("a"), F.col("bb").alias("ba"), F.col("ba").alias("bb")))).alias("x")).select("x.*")
+    vague = both.filter("ba IS NULL AND bb IS NOT NULL").groupBy("a").agg(F.min("bb").alias("lo"), F.max("bb").alias("hi")).filter("lo <> hi").select(F.col("a").alias("v"))
     firm = (F.col("ba").isNull() != F.col("bb").isNull())
     odd = F.when(firm, F.when(F.col("ba").isNull(), F.col("a")).otherwise(F.col("b")))
     return pairs.withColumn("v", odd).join(vague, "v", "left_anti").select("a", "b")
 
 
-def record_pairs(members: DataFrame, links: DataFrame, left: str, right: str) -> DataFrame:
-    """(left, right): pairs of different keys, smaller first, whose forms are equal or linked. Each once."""
-    same = members.select(F.col("form").alias("a"), F.col("form").alias("b")).distinct()
-    ab = links.select("a", "b").unionByName(same)
-    x = ab.join(members.select(F.col("form").alias("a"), F.col("key").alias("_x")), "a").join(members.select(F.col("form").alias("b"), F.col("key").alias("_y")), "b")
-    x = x.filter((F.col("_x") < F.col("_y")) | ((F.col("_x") > F.col("_y")) & (F.col("a") != F.col("b"))))
-    return x.select(F.least("_x", "_y").alias(left), F.greatest("_x", "_y").alias(right)).distinct()
+def linked_forms(registry: DataFrame, barangays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the records of the registry: their forms, and the links between different forms."""
+    records = registry.select(canonical_no(F.col("iis_no")).alias("key"), "address")
+    members, forms_ = forms(records, barangays)
+    return durable(members), durable(settled(durable(same_places(forms_))))
 
 
 def same_address_records(registry: DataFrame, barangays: DataFrame) -> DataFrame:
@@ -150,7 +230,9 @@ def same_address_records(registry: DataFrame, barangays: DataFrame) -> DataFrame
     Null, empty and vague addresses, and rows without a document number, make no pair; equally written addresses of a
     place do. Further columns and repeated rows don't matter; an empty table gives no rows.
     """
-    records = registry.select(canonical_no(F.col("iis_no")).alias("key"), "address")
-    members, forms_ = forms(records, barangays)
-    members = durable(members)
-    return record_pairs(members, settled(same_places(forms_)), "iis_a", "iis_b")
+    return record_pairs(*linked_forms(registry, barangays), "iis_a", "iis_b")
+
+
+def address_classes(registry: DataFrame, barangays: DataFrame) -> DataFrame:
+    """(iis_no, class_id, n_members, n_links): one row for each record and form of its addresses; see `pairs.classes`."""
+    return classes(*linked_forms(registry, barangays), "iis_no")

@@ -168,7 +168,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[id_col, "ids"])
 
     d = docs.select(id_col, text_col)
-    return spread(d).mapInArrow(run, f"{id_col} {d.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return d.mapInArrow(run, f"{id_col} {d.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,4 +180,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t.as_py())) for t in b.column(1)], pa.int32())], names=[id_col, "n_tokens"])
 
     d = docs.select(id_col, text_col)
-    return spread(d).mapInArrow(run, f"{id_col} {d.schema[id_col].dataType.simpleString()}, n_tokens int")
+    return d.mapInArrow(run, f"{id_col} {d.schema[id_col].dataType.simpleString()}, n_tokens int")

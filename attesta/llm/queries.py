@@ -15,6 +15,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address_records(table(spark, d, "registry"), table(spark, d, "barangays"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.address_classes(table(spark, d, "registry"), table(spark, d, "barangays"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_records(table(spark, d, "registry"), table(spark, d, "given_names"))
 
@@ -55,5 +59,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.label_cases(p8_segments(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
 SQL: dict[str, str] = {}

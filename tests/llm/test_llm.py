@@ -173,6 +173,63 @@ def test_what_names_a_street_is_no_slip(spark):
     assert pairs(spark, rows) == [(0, 1), (2, 3), (5, 6), (10, 11), (14, 15)]
 
 
+CITIES = [("San Isidro", "Santa Rosa", "Laguna", "4026"), ("Poblacion", "Taytay", "Rizal", "1920"), ("Poblacion", "Angono", "Rizal", "1930"), ("San Jose", "Angono", "Rizal", "1930")]
+
+
+def city_pairs(spark, rows):
+    reg = spark.createDataFrame([(f"R1-2024-{i:04d}", x, None, None, 0, "") for i, x in enumerate(rows)], REG)
+    got = a.same_address_records(reg, spark.createDataFrame(CITIES, "barangay string, town string, province string, zip string")).collect()
+    return sorted((int(r.iis_a[-4:]), int(r.iis_b[-4:])) for r in got)
+
+
+def test_places_of_several_words_and_towns(spark):
+    assert city_pairs(spark, ["10 Mabini Street, San Isidro, Santa Rosa", "Mabini St. 10, Brgy. San Isidro, Santa Rosa City", "10 mabini st san isidro 4026"]) == [(0, 1), (0, 2), (1, 2)]
+    assert city_pairs(spark, ["10 Mabini Street, Poblacion, Taytay", "10 Mabini Street, Poblacion, Angono", "10 Mabini Street, Poblacion", "Mabini St 10, Bgy Poblacion, 1930"]) == [(1, 3)]
+    assert city_pairs(spark, ["10 Santa Rosa Street, San Jose, Angono", "Santa Rosa St. 10, San Jose, Angono", "10 Rosa Street, San Jose, Angono"]) == [(0, 1)]
+
+
+def test_short_and_numbered_streets(spark):
+    assert city_pairs(spark, ["15 Q Street, Poblacion, Taytay", "Q St. 15, Brgy Poblacion, Taytay", "15 R Street, Poblacion, Taytay"]) == [(0, 1)]
+    assert city_pairs(spark, ["15 5th Street, Poblacion, Taytay", "15 5th St., Poblacion, Taytay", "15 6th Street, Poblacion, Taytay", "5 15th Street, Poblacion, Taytay"]) == [(0, 1)]
+
+
+def test_a_town_outside_the_gazetteer(spark):
+    assert city_pairs(spark, ["15 Mabini Street, Elsewhere", "Mabini St. 15, Elsewhere", "see 3 folders", "see 3 folders"]) == [(0, 1)]
+
+
+def test_address_recall_against_all_pairs_of_forms(spark):
+    reg, places = spark.read.parquet(f"{SF}/registry.parquet"), spark.read.parquet(f"{SF}/barangays.parquet")
+    records = reg.select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("key"), "address")
+    _, forms = a.forms(records, places)
+    one, two = a.weighed(forms).select(F.col("f").alias("a")), a.weighed(forms).select(F.col("f").alias("b"))
+    slow = a.same_place(a.durable(one.crossJoin(two).filter("a.form < b.form").filter(a.compatible()))).select("a", "b")
+    want, got = {tuple(r) for r in slow.collect()}, {tuple(r) for r in a.same_places(forms).select("a", "b").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 0
+
+
+def test_classes_of_addresses(spark):
+    reg = spark.createDataFrame([(f"R1-2024-{i:04d}", x, None, None, 0, "") for i, x in enumerate(["10 Mabini Street, San Jose, Angono", "Mabini St 10, San Jose, Angono", "10 Mabini Street, Angono", "x"])], REG)
+    rows = a.address_classes(reg, spark.createDataFrame(CITIES, "barangay string, town string, province string, zip string")).collect()
+    assert sorted((r.iis_no, r.n_members, r.n_links) for r in rows) == [("R1-2024-0000", 2, 1), ("R1-2024-0001", 2, 1), ("R1-2024-0002", 1, 1)]
+
+
+def test_a_hot_class_is_split(spark, monkeypatch):
+    from attesta.llm import pairs as q
+
+    monkeypatch.setattr(q, "CLASS_PART", 3)
+    members = q.durable(spark.createDataFrame([(f"k{i:02d}", 1) for i in range(11)] + [("k03", 2), ("z", 2), ("y", 3)], "key string, form bigint"))
+    got = sorted(tuple(r) for r in q.record_pairs(members, spark.createDataFrame([(1, 3)], "a bigint, b bigint"), "l", "r").collect())
+    ks = [f"k{i:02d}" for i in range(11)]
+    assert got == sorted({(x, y) for i, x in enumerate(ks) for y in ks[i + 1 :]} | {("k03", "z")} | {(x, "y") for x in ks})
+
+
+def test_long_words_meet_too(spark):
+    w = "abcdefghij" * 5
+    rows = [(w, 30), (w[:7] + w[8:], 1), (w[:49] + "x", 1), ("x" + w, 1), (w[:20] + w[21] + w[20] + w[22:], 1), (w[:24], 20), (w[:10] + w[11:24], 1), (w[:25], 1), (w[::-1], 1), ("y" * 30_000, 1)]
+    got = {r.w: r.good for r in spelling.spellings(spark.createDataFrame(rows, "w string, n bigint"), spark.createDataFrame([], "w string")).collect()}
+    assert got == {x: w for x, _ in rows[1:5]} | {rows[6][0]: w[:24], rows[7][0]: w[:24]}
+
+
 def test_known_words_replace_slips_only(spark):
     words = spark.createDataFrame([("rosa", 3), ("roda", 12), ("raod", 2), ("near", 40), ("neara", 30), ("supibul", 1), ("mututulnag", 3), ("dnear", 40)], "w string, n bigint")
     known = spark.createDataFrame([("road",), ("near",), ("supibuli",), ("mututulang",)], "w string").unionByName(spark.createDataFrame([("lane",)], "w string"))
