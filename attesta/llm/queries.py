@@ -23,6 +23,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_records(table(spark, d, "registry"), table(spark, d, "given_names"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_classes(table(spark, d, "registry"), table(spark, d, "given_names"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), bpe.vocabulary_path(spark))
 
@@ -59,5 +63,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.label_cases(p8_segments(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
 SQL: dict[str, str] = {}

@@ -315,6 +315,45 @@ def test_organisations_with_every_word_shortened(spark):
     assert name_pairs(spark, companies, [])["company_name"] == [(0, 1), (2, 3), (2, 4), (3, 4), (8, 9), (10, 11)]
 
 
+def test_trades_need_no_list(spark):
+    companies = ["Margrosol Galnovbra Pharmacy", "Margrosol Galnovbra Phcy. Inc", "Margrosol Galnovbra Clinic", "Quinelcle Zenpelquin Pharmacy", "Zenpelquin Quinelcle Phcy"]
+    assert name_pairs(spark, companies, [])["company_name"] == [(0, 1), (3, 4)]
+
+
+def test_abbreviations_stand_beside_the_same_words(spark):
+    rows = [("rice", "mill", 9), ("textile", "mills", 9), ("medical", "ctr", 2), ("medical", "center", 9), ("sugar", "central", 9), ("zenpel", "mfg", 2), ("zenpel", "manufacturing", 5), ("zenpel", "marketing", 5)]
+    bigrams = spark.createDataFrame(rows, "x string, y string, n bigint")
+    counts = spark.createDataFrame([(w, n) for w, n in {w: n for r in rows for w, n in ((r[0], r[2]), (r[1], r[2]))}.items()], "w string, n bigint")
+    got = {r.w: r.long for r in n._abbreviations(counts, bigrams, spark.createDataFrame([], "w string, good string")).collect()}
+    assert got == {"ctr": "center", "mfg": "manufacturing"}
+
+
+def test_organisation_recall_against_all_pairs_of_forms(spark):
+    reg = spark.read.parquet(f"{SF}/registry.parquet")
+    forms = n.durable(n.organisation_forms(reg.select(F.col("company_name").alias("name")).filter("name IS NOT NULL").distinct()))
+    f = forms.select("form", "tokens").distinct()
+    every = f.selectExpr("form AS a", "tokens AS ta").crossJoin(f.selectExpr("form AS b", "tokens AS tb")).filter("a < b AND size(ta) = size(tb)")
+    want = {tuple(r) for r in n._settled_organisations(n.durable(n.aligned_pairs(every, 2 * n.SLIP + 0.01))).collect()}
+    got = {tuple(r) for r in n.same_organisations(forms).collect()}
+    assert len(got & want) >= 0.97 * len(want) > 0 and len(got - want) <= 0.03 * len(want)
+
+
+def test_person_recall_against_all_pairs_of_forms(spark):
+    reg, given = spark.read.parquet(f"{SF}/registry.parquet"), spark.read.parquet(f"{SF}/given_names.parquet")
+    forms = n.durable(n.person_forms(reg.select(F.col("subject_name").alias("name")).filter("name IS NOT NULL").distinct(), given))
+    rows = {r.form: r for r in forms.collect()}
+    want = set()
+    for x in rows.values():
+        for y in rows.values():
+            if x.form < y.form and x.suffix == y.suffix:
+                both = x.middle is not None and y.middle is not None
+                t = lambda r: [r.surname, r.given, *([r.middle] if both else [])]  # noqa: E731, B023
+                if n.alignment(t(x), t(y)) <= 2 * n.SLIP + 0.01 and n.token_cost(x.surname, y.surname) < 1 and n.token_cost(x.given, y.given) < 1:
+                    want.add((x.form, y.form))
+    got = {(r.a, r.b) for r in n.same_persons(forms).collect()}
+    assert len(got & want) >= 0.99 * len(want) > 0
+
+
 # --- 8 ---
 
 TEXTS = {
