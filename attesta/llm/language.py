@@ -12,43 +12,107 @@ its neighbours.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.sources.spread import spread
 
 WINDOW = 80
 WIDTHS = ((2, 24), (3, 40), (4, 40), (5, 32))
 #: Labelled documents for each language, and sentences for each language, that the network is fitted on at most.
-TRAIN_DOCS, TRAIN_SENTENCES = 700, 1600
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 11
+TRAIN_DOCS, TRAIN_SENTENCES = 700, 1200
+#: Names of goods at most; each task holds them.
+MOST_GOODS = 100_000
+EPOCHS, BATCH, RATE, SEED = 4, 96, 0.005, 11
 #: Steps of a fit at least, however small the sample.
 LEAST_STEPS = 300
 #: Cost of a change of language, in nats, and the most that one sentence can say for a language against another.
 SWITCH, MOST = 1.0, 14.0
-#: Distinct sentences that are scored together.
-BLOCK = 512
+#: Distinct sentences that are scored together, and windows that are summed together.
+BLOCK, CHUNK = 512, 24
+#: Sentences whose score a task keeps for its next batches; it only saves work.
+KEPT = 50_000
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|\[/?[A-Z]{2,8}\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
-_GOODS = re.compile(r"\b[^\W\d_][\w-]*\s+[A-Z][0-9]{1,4}\b", re.I)
 _SOFT = re.compile(r"(?<![.!?…\s\"')\]])[ \t]*\n[ \t]*(?=[^\s\n])")
 _UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
-_END = re.compile(r"(?<=[.!?…])[\"'»”)\]]*(?:\s+|$)|\n+|\s+/+\s+|\s+[-–—]{2,}\s+|\s+\|\s+")
-
-
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text that hold a letter, without markup, addresses of the net and names of goods."""
+_END = re.compile(r"(?<=[.!?…])[\"'»”)\]]*(?:\s+|$)|\n+")
+_SEPARATOR = re.compile(r"\s+(?:/+|[-–—]{2,}|\|)\s+")
+_ZEROS = {ord(d): "0" for d in "123456789"}
+_GAP = re.compile(r"[^\S\n]+")
+
+
+class Goods:
+    """Names of goods, found in one pass over a text by an automaton, and taken out of it where they stand as words, in any case."""
+
+    def __init__(self, names: Sequence[str]) -> None:
+        self.names = sorted({" ".join(n.lower().split()) for n in names if n and n.strip()})
+        self.automaton = None
+
+    def _start(self) -> None:
+        try:
+            import ahocorasick
+        except ImportError:
+            self.automaton = re.compile("|".join(map(re.escape, sorted(self.names, key=len, reverse=True))))
+            return
+        self.automaton = ahocorasick.Automaton()
+        for n in self.names:
+            self.automaton.add_word(n, len(n))
+        self.automaton.make_automaton()
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "automaton": None}
+
+    def without(self, t: str) -> str:
+        if not self.names:
+            return t
+        if self.automaton is None:
+            self._start()
+        if "  " in t or "\t" in t or not t.isascii():
+            t = _GAP.sub(" ", t)
+        low = t.lower()
+        if len(low) != len(t):  # a few capital letters become two signs
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in t)
+        if isinstance(self.automaton, re.Pattern):
+            spans = [m.span() for m in self.automaton.finditer(low)]
+        else:
+            spans = [(end + 1 - n, end + 1) for end, n in self.automaton.iter(low)]
+        out, at = [], 0
+        for i, j in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if i >= at and not (i and low[i - 1].isalnum()) and not (j < len(low) and low[j].isalnum()):
+                out += [t[at:i], " "]
+                at = j
+        return "".join(out) + t[at:] if at else t
+
+
+NO_GOODS = Goods([])
+
+
+def sentences(text: str | None, goods: Goods = NO_GOODS) -> list[str]:
+    """The sentences of a text that hold a letter, without markup, addresses of the net and names of goods; any digit is a 0."""
     if not text:
         return []
-    t = _GOODS.sub(" ", _LINK.sub(" ", _TAG.sub("\n", _UNSEEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))))
-    t = _SOFT.sub(" ", t)
-    return [s for s in (re.sub(r"\s+", " ", x).strip(" /|-–—") for x in _END.split(t)) if s and any(c.isalpha() for c in s)]
+    t = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    if not t.isascii():
+        t = _UNSEEN.sub("", t)
+    if "<" in t or "&" in t or "[" in t:
+        t = _TAG.sub("\n", t)
+    if "://" in t or "www." in t or "@" in t:
+        t = _LINK.sub(" ", t)
+    t = goods.without(t).translate(_ZEROS)
+    if "\n" in t:
+        t = _SOFT.sub(" ", t)
+    parts = _END.split(t)
+    if " /" in t or "|" in t or "--" in t or "–" in t or "—" in t:
+        parts = [y for x in parts for y in _SEPARATOR.split(x)]
+    return [s for s in (" ".join(x.split()).strip(" /|-–—") for x in parts) if s and any(map(str.isalpha, s))]
 
 
 def windows(s: str) -> np.ndarray:
@@ -74,24 +138,37 @@ class ByteNet:
         self.out_bias = np.zeros(len(langs), np.float32)
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        tops, where = [], []
+        """The maxima of the filters over each window, and where they are; CHUNK windows at a time, so that the sums stay in the cache."""
+        tops, where = np.empty((len(x), sum(n for _, n in WIDTHS)), np.float32), [np.empty((len(x), n), np.intp) for _, n in WIDTHS]
+        for i in range(0, len(x), CHUNK):
+            at = 0
+            for k, (a, b) in enumerate(self._sums(x[i : i + CHUNK].astype(np.intp))):
+                top = a.argmax(axis=1)
+                where[k][i : i + CHUNK] = top
+                tops[i : i + CHUNK, at : at + len(b)] = np.take_along_axis(a, top[:, None, :], 1)[:, 0, :] + b
+                at += len(b)
+        return np.maximum(tops, 0, out=tops), where
+
+    def _sums(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for (w, _), f, b in zip(WIDTHS, self.filters, self.bias):
-            span = WINDOW - w + 1
-            a = f[0][x[:, :span]]
+            span = x.shape[1] - w + 1
+            a = np.take(f[0], x[:, :span], axis=0)
             for j in range(1, w):
-                a += f[j][x[:, j : j + span]]
-            k = a.argmax(axis=1)
-            where.append(k)
-            tops.append(np.take_along_axis(a, k[:, None, :], 1)[:, 0, :] + b)
-        return np.maximum(np.concatenate(tops, 1), 0), where
+                a += np.take(f[j], x[:, j : j + span], axis=0)
+            yield a, b
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), len(self.langs)), np.float32)
-        for i in range(0, len(x), BLOCK):
-            z = self.pooled(x[i : i + BLOCK])[0] @ self.out + self.out_bias
-            z -= z.max(axis=1, keepdims=True)
-            out[i : i + BLOCK] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return out
+        """The log probabilities of each window. Short windows together: of the spaces after them a filter's width is enough."""
+        length = WINDOW - (x[:, ::-1] != 32).argmax(axis=1)
+        order = np.argsort(length, kind="stable")
+        h = np.empty((len(x), sum(n for _, n in WIDTHS)), np.float32)
+        for i in range(0, len(x), CHUNK):
+            k = order[i : i + CHUNK]
+            size = min(WINDOW, int(length[k[-1]]) + WIDTHS[-1][0])
+            h[k] = np.concatenate([a.max(axis=1) + b for a, b in self._sums(x[k, :size].astype(np.intp))], 1)
+        z = np.maximum(h, 0, out=h) @ self.out + self.out_bias
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> "ByteNet":
         rng = np.random.default_rng(SEED)
@@ -122,7 +199,8 @@ class ByteNet:
                     gb.append(part.sum(0))
                     rows, cols = np.arange(len(k))[:, None], np.arange(n)[None, :]
                     for j in range(w):
-                        np.add.at(g[j], (xb[rows, pos + j], np.broadcast_to(cols, pos.shape)), part)
+                        place = (xb[rows, pos + j].astype(np.intp) * n + cols).ravel()
+                        g[j] = np.bincount(place, part.ravel(), 256 * n).reshape(256, n)
                 t += 1
                 for q, (param, g) in enumerate(zip(params, [*grads, *gb, hd.T @ p, p.sum(0)])):
                     m[q] += 0.1 * (g - m[q])
@@ -152,17 +230,17 @@ def training_texts(named: DataFrame, per_language: int = TRAIN_DOCS) -> list[tup
     return [(t, r["named"]) for r in sorted(rows, key=lambda r: r["doc_id"]) for t in (r["text"], r["title"]) if t]
 
 
-def trained(texts: list[tuple[str, str]], per_language: int = TRAIN_SENTENCES) -> ByteNet | None:
-    """The network fitted twice, or None without labelled sentences. Beyond `per_language` sentences the first ones count."""
+def trained(texts: list[tuple[str, str]], per_language: int = TRAIN_SENTENCES, goods: Goods = NO_GOODS) -> ByteNet | None:
+    """The network fitted twice, or None without labelled sentences. Beyond `per_language` sentences the most frequent ones count."""
     langs = sorted({lang for _, lang in texts})
     said: dict[str, dict[str, int]] = {}
     for text, lang in texts:
-        for s in sentences(text):
+        for s in sentences(text, goods):
             votes = said.setdefault(s, {})
             votes[lang] = votes.get(lang, 0) + 1
     # A sentence that documents of several labels share counts for the label of most of them.
     kept: dict[str, list[str]] = {lang: [] for lang in langs}
-    for s, votes in said.items():
+    for s, votes in sorted(said.items(), key=lambda x: (-sum(x[1].values()), x[0])):
         lang = max(sorted(votes), key=votes.__getitem__)
         if 2 * votes[lang] > sum(votes.values()) and len(kept[lang]) < per_language:
             kept[lang].append(s)
@@ -172,12 +250,14 @@ def trained(texts: list[tuple[str, str]], per_language: int = TRAIN_SENTENCES) -
             plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
             for form in {s: 0, plain: 0}:  # accents are often left out
                 w = windows(form)
-                x.append(w)
-                y.append(np.full(len(w), langs.index(lang)))
+                # What many documents say counts more, by the logarithm of their number.
+                times = int(math.log2(sum(said[s].values()))) + 1
+                x += [w] * times
+                y.append(np.full(len(w) * times, langs.index(lang)))
     if not x:
         return None
     xs, ys = np.concatenate(x), np.concatenate(y)
-    first = ByteNet(langs).fit(xs, ys, epochs=3)
+    first = ByteNet(langs).fit(xs, ys, epochs=2)
     lp = first.log_probs(xs)
     own = lp[np.arange(len(ys)), ys]
     sound = own > lp.max(axis=1) - 1.0
@@ -200,37 +280,29 @@ def likeliest(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def segments(named: DataFrame, net: ByteNet) -> DataFrame:
+def segments(named: DataFrame, net: ByteNet, goods: Goods = NO_GOODS) -> DataFrame:
     """(doc_id, named, seg_no, lang, confidence, n_sentences, n_segments): one row for each segment; none for a text without words.
 
     confidence is the mean probability that the segment's sentences have for its language, by length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, np.ndarray] = {}
         for pdf in batches:
-            cut = [sentences(t if isinstance(t, str) else None) for t in pdf["text"]]
-            known = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
-            lp = np.zeros((len(known), len(net.langs)), np.float32)
-            todo, owner = [], []
-
-            def flush() -> None:
-                if todo:
-                    np.add.at(lp, np.concatenate(owner), net.log_probs(np.concatenate(todo)))
-                    todo.clear()
-                    owner.clear()
-
-            for s, i in known.items():
-                w = windows(s)
-                todo.append(w)
-                owner.append(np.full(len(w), i))
-                if len(todo) >= BLOCK:
-                    flush()
-            flush()
+            cut = [sentences(t if isinstance(t, str) else None, goods) for t in pdf["text"]]
+            fresh = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in kept]
+            for i in range(0, len(fresh), BLOCK):
+                part = fresh[i : i + BLOCK]
+                each = [windows(s) for s in part]
+                owner = np.repeat(np.arange(len(part)), [len(w) for w in each])
+                lp = np.zeros((len(part), len(net.langs)))
+                np.add.at(lp, owner, net.log_probs(np.concatenate(each)))
+                kept.update(zip(part, lp))
             out = []
             for doc, name, c in zip(pdf["doc_id"], pdf["named"], cut):
                 if not c:
                     continue
-                scores = lp[[known[s] for s in c]].astype(np.float64)
+                scores = np.array([kept[s] for s in c])
                 scores = np.maximum(scores, scores.max(axis=1, keepdims=True) - MOST)
                 path = likeliest(scores)
                 prob = np.exp(scores - np.log(np.exp(scores).sum(axis=1, keepdims=True)))
@@ -239,23 +311,59 @@ def segments(named: DataFrame, net: ByteNet) -> DataFrame:
                 for no, (a, b) in enumerate(zip(edges, edges[1:]), 1):
                     conf = float((prob[range(a, b), path[a]] * size[a:b]).sum() / size[a:b].sum())
                     out.append((doc, name, no, net.langs[path[a]], round(conf, 4), b - a, len(edges) - 1))
+            if len(kept) > KEPT:
+                kept.clear()
             yield pd.DataFrame(out, columns=["doc_id", "named", "seg_no", "lang", "confidence", "n_sentences", "n_segments"])
 
     kind = named.schema["doc_id"].dataType.simpleString()
     return spread(named).mapInPandas(run, f"doc_id {kind}, named string, seg_no int, lang string, confidence double, n_sentences int, n_segments int")
 
 
-def document_languages(docs: DataFrame, language_names: DataFrame) -> DataFrame:
+def save_network(spark: SparkSession, net: ByteNet, path: str) -> None:
+    """The network as a table (name, shape, weights), to be used again."""
+    parts = {**{f"filter{i}": f for i, f in enumerate(net.filters)}, **{f"bias{i}": b for i, b in enumerate(net.bias)}, "out": net.out, "out_bias": net.out_bias}
+    rows = [(n, list(a.shape), a.ravel().tolist(), net.langs) for n, a in parts.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, weights array<float>, langs array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> ByteNet:
+    """What save_network wrote."""
+    rows = {r["name"]: r for r in spark.read.parquet(path).collect()}  # one row for each layer
+    at = lambda n: np.array(rows[n]["weights"], np.float32).reshape(rows[n]["shape"])
+    net = ByteNet(list(rows["out"]["langs"]))
+    net.filters, net.bias = [at(f"filter{i}") for i in range(len(WIDTHS))], [at(f"bias{i}") for i in range(len(WIDTHS))]
+    net.out, net.out_bias = at("out"), at("out_bias")
+    return net
+
+
+def goods_of(items: DataFrame, column: str = "item_name") -> Goods:
+    """The names of goods in a table of at most MOST_GOODS of them."""
+    names = [r[0] for r in items.select(column).distinct().limit(MOST_GOODS + 1).collect()]
+    if len(names) > MOST_GOODS:
+        raise ValueError(f"more than {MOST_GOODS} names of goods")
+    return Goods(names)
+
+
+def document_languages(docs: DataFrame, language_names: DataFrame, items: DataFrame | None = None, net: ByteNet | None = None) -> DataFrame:
     """(doc_id, named, seg_no, lang, confidence, n_sentences, is_case) for every document with words.
 
     is_case: the document has segments of several languages, or one that its label doesn't name. Null, blank and wordless
-    texts give no row; without any labelled text there is nothing to learn from and no row comes out.
+    texts give no row; without any labelled text there is nothing to learn from and no row comes out. items: goods whose
+    names say nothing of a language. net: a fitted network; without one it is fitted on a sample of `docs`.
     """
     named = labelled(docs, language_names)
-    net = trained(training_texts(named))
+    goods = goods_of(items) if items is not None else NO_GOODS
+    net = net or trained(training_texts(named), goods=goods)
     if net is None:
         return named.limit(0).selectExpr("doc_id", "named", "1 AS seg_no", "named AS lang", "CAST(0 AS DOUBLE) AS confidence", "0 AS n_sentences", "false AS is_case")
-    return segments(named, net).withColumn("is_case", (F.col("n_segments") > 1) | ~F.col("lang").eqNullSafe(F.col("named"))).drop("n_segments")
+    return segments(named, net, goods).withColumn("is_case", (F.col("n_segments") > 1) | ~F.col("lang").eqNullSafe(F.col("named"))).drop("n_segments")
+
+
+def confidence_report(found: DataFrame) -> DataFrame:
+    """(tenth, n_segments, n_named, share_named): for each tenth of confidence how many segments of labelled documents have the language that the label names."""
+    tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int").alias("tenth")
+    agree = F.count_if(F.col("lang") == F.col("named"))
+    return found.filter("named IS NOT NULL").groupBy(tenth).agg(F.count("*").alias("n_segments"), agree.alias("n_named"), F.round(agree / F.count("*"), 4).alias("share_named"))
 
 
 def label_cases(found: DataFrame) -> DataFrame:

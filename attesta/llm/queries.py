@@ -56,12 +56,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.document_languages(table(spark, d, "documents"), table(spark, d, "language_names"))
+    return language.document_languages(table(spark, d, "documents"), table(spark, d, "language_names"), table(spark, d, "review_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.label_cases(p8_segments(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_segments)}
+def p8_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return language.confidence_report(p8_segments(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_segments, p8_confidence)}
 SQL: dict[str, str] = {}

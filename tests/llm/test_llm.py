@@ -365,7 +365,7 @@ NAMES = "lang string, written_as string"
 
 
 def test_sentences_leave_out_what_is_no_text():
-    s = g.sentences("I like it!<br/>See https://x.example/y?z The Quinelcle T46 works\nwell... / Ja, gut. \u200b🎉 12 [CLS]")
+    s = g.sentences("I like it!<br/>See https://x.example/y?z The Quinelcle T46 works\nwell... / Ja, gut. \u200b🎉 12 [CLS]", g.Goods(["Quinelcle T46"]))
     assert s == ["I like it!", "See The works well...", "Ja, gut."]
     assert g.sentences(None) == g.sentences("") == g.sentences("🎉 12 !!") == []
 
@@ -406,3 +406,33 @@ def test_held_out_sentences_of_the_corpus(spark):
     held = [s for r in known.filter("doc_id % 4 = 0").collect() for s in g.sentences(r.text) if s in sure]
     right = sum(net.langs[int(net.log_probs(g.windows(s)).sum(0).argmax())] == sure[s] for s in held)
     assert len(held) > 150 and right / len(held) > 0.97
+
+
+def test_names_of_goods_say_nothing():
+    goods = g.Goods(["Quinelcle T46", "Ororel  S61", None, " ", "Lamp"])
+    assert g.sentences("I like quinelcle t46 a lot. Clamps, LAMP!", goods) == ["I like a lot.", "Clamps, !"]
+    assert g.sentences("The Zenpelquin X23 works, not 30 or 7 days.", goods) == ["The Zenpelquin X00 works, not 00 or 0 days."]
+    assert g.Goods([]).without("İx Ororel S61") == "İx Ororel S61" and g.Goods(["Ororel S61"]).without("İx Ororel S61 y").split() == ["İx", "y"]
+
+
+def test_short_windows_score_as_whole_ones():
+    rnd = np.random.default_rng(5)
+    net = g.ByteNet(["a", "b", "c"])
+    x = np.concatenate([g.windows("".join(chr(97 + c) for c in rnd.integers(0, 26, n))) for n in (1, 5, 30, 74, 75, 76, 78, 79, 200)])
+    z = net.pooled(x)[0] @ net.out + net.out_bias
+    want = z - z.max(axis=1, keepdims=True)
+    want -= np.log(np.exp(want).sum(axis=1, keepdims=True))
+    assert np.allclose(net.log_probs(x), want, atol=1e-4)
+
+
+def test_a_network_is_kept_as_a_table(spark, tmp_path):
+    net = g.trained([("the cat sat on the mat. it was a good day.", "en"), ("die katze lag auf der matte. es war ein guter tag.", "de")] * 3)
+    g.save_network(spark, net, str(tmp_path / "net"))
+    again = g.load_network(spark, str(tmp_path / "net"))
+    x = np.concatenate([g.windows("the day"), g.windows("der tag")])
+    assert again.langs == net.langs and np.allclose(again.log_probs(x), net.log_probs(x))
+    docs = spark.createDataFrame([(1, "it was the day.", "en", None), (2, None, None, None), (3, "es war der tag.", "en", None)], "doc_id bigint, text string, lang string, title string")
+    names = spark.createDataFrame([("en", "en"), ("de", "de")], "lang string, written_as string")
+    found = g.document_languages(docs, names, net=again)
+    assert sorted((r.doc_id, r.lang, r.is_case) for r in found.collect()) == [(1, "en", False), (3, "de", True)]
+    assert sum(r.n_segments for r in g.confidence_report(found).collect()) == 2
