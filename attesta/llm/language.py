@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.sources.spread import spread
 
 WINDOW = 80
 WIDTHS = ((2, 24), (3, 40), (4, 40), (5, 32))
@@ -316,7 +315,7 @@ def segments(named: DataFrame, net: ByteNet, goods: Goods = NO_GOODS) -> DataFra
             yield pd.DataFrame(out, columns=["doc_id", "named", "seg_no", "lang", "confidence", "n_sentences", "n_segments"])
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    return spread(named).mapInPandas(run, f"doc_id {kind}, named string, seg_no int, lang string, confidence double, n_sentences int, n_segments int")
+    return named.mapInPandas(run, f"doc_id {kind}, named string, seg_no int, lang string, confidence double, n_sentences int, n_segments int")
 
 
 def save_network(spark: SparkSession, net: ByteNet, path: str) -> None:
