@@ -46,16 +46,20 @@ def page_status(page_texts: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     return p.select("doc_id", "position", "p.iis_no", F.col("p.k").alias("claimed_k"), F.col("p.n").alias("claimed_n"), "p.kid", "p.seal", status.alias("status"))
 
 
-def document_findings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def document_findings(pages: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """W1 and W1a over the rows of page_status: (findings, documents).
 
     findings: (doc_id, phase, position, rule, finding) in the order phase, position, rule. documents: (doc_id, iis_no,
     claimed_pages, actual_pages, n_findings, status). The document's number is the one that first reaches the greatest count
-    among its sealed pages, its length the one among the pages of that number.
+    among its sealed pages, its length the one among the pages of that number. expected: (doc_id, expected_no), unique by doc_id: the number that the
+    caller expects of a document takes the place of its own; null and '' expect none.
     """
     pages = durable(pages)  # seals are computed once; read for the numbers, the lengths, the rules and the missing pages
     sealed = pages.filter("status <> 'not_sealed'")
     number = first_reached_mode(sealed, ["doc_id"], "iis_no", ["position"]).withColumnRenamed("iis_no", "doc_no")
+    if expected is not None:
+        wanted = expected.select("doc_id", F.nullif("expected_no", F.lit("")).alias("_e"))
+        number = pages.select("doc_id").distinct().join(number, "doc_id", "left").join(wanted, "doc_id", "left").select("doc_id", F.coalesce("_e", "doc_no").alias("doc_no"))
     length = first_reached_mode(sealed.join(number, "doc_id").filter("iis_no = doc_no"), ["doc_id"], "claimed_n", ["position"]).withColumnRenamed("claimed_n", "doc_n").withColumn("doc_n", F.nullif("doc_n", F.lit(0)))
     size = pages.groupBy("doc_id").agg(F.count("*").alias("actual_pages"), F.count_if(F.col("status") != "not_sealed").alias("n_sealed"))
     head = size.join(number, "doc_id", "left").join(length, "doc_id", "left")
@@ -85,6 +89,26 @@ def document_findings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings, docs
 
 
+def seal_fit_report(fits: DataFrame, spots: DataFrame, numbers: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The pre-flight of sealing, one row a document: what the seal would cover, where it could go instead, and the document's number.
+
+    fits: (doc_id, clear, ruled) of spatial.document_fit; spots: those of spatial.clear_spots; numbers: those of
+    registry.control_numbers; resolutions: those of registry.qr_resolutions. The number in the text comes before the one that
+    the code leads to, which isn't asked then. (doc_id, clear, ruled, move_x, move_y, iis_no, source, candidates, lookup_ok,
+    lookup_reason): move_x and move_y are null where the usual place is clear or none is free, source is 'text', 'iis' or null,
+    candidates are the numbers in the text, the best first, lookup_ok and lookup_reason are null where the text says it.
+    """
+    said = numbers.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "iis_no"))).alias("_n")).select("doc_id", F.transform("_n", lambda x: x["iis_no"]).alias("candidates"))
+    j = fits.join(spots.select("doc_id", "x0", "y0"), "doc_id", "left").join(said, "doc_id", "left").join(resolutions.select("doc_id", "ok", "reason", F.col("iis_no").alias("_q")), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    best, ok = F.get("candidates", F.lit(0)), F.coalesce("ok", F.lit(False))
+    return j.select(
+        "doc_id", "clear", "ruled", F.when(~F.col("clear"), F.col("x0")).alias("move_x"), F.when(~F.col("clear"), F.col("y0")).alias("move_y"),
+        F.coalesce(best, F.when(ok, F.col("_q"))).alias("iis_no"), F.when(best.isNotNull(), "text").when(ok, "iis").alias("source"), F.coalesce("candidates", none).alias("candidates"),
+        F.when(best.isNull(), ok).alias("lookup_ok"), F.when(best.isNull() & ~ok, F.coalesce("reason", F.lit("unreachable"))).alias("lookup_reason"),
+    )
+
+
 def document_report(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """One line a page and the stamp of its document: 'a of b pages'."""
     label = F.create_map(*[F.lit(x) for p in PAGE_LABELS.items() for x in p])

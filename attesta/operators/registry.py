@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from attesta.functions.text import js_trim, normalize_id, text
+from attesta.functions.text import js_trim, may_fetch, normalize_id, parse_verification_page, text
 
 ATTRIBUTES = ("subject_name", "company_name", "address", "emb_id", "transaction_type", "attachment_ref")
 
@@ -40,9 +40,9 @@ def merge_batch(documents: DataFrame, batch: DataFrame, order: Sequence[Column],
     last_verified of a known record; a live record sets source and last_verified and keeps first_seen.
     """
     rows = batch.withColumn("iis_no", js_trim(F.col("iis_no"))).filter("iis_no <> ''")
-    first = rows.groupBy("iis_no").agg(F.min("at").alias("_first"))
-    ranked = rows.select("iis_no", "at", *ATTRIBUTES, *[o.alias(f"_k{i}") for i, o in enumerate(order)])
-    new = keep_last(ranked, ["iis_no"], [F.col(f"_k{i}") for i in range(len(order))]).join(first, "iis_no").select("iis_no", F.lit(True).alias("_new"), "_first", F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ATTRIBUTES])
+    # One aggregation gives the last row of a number and the first time that it came.
+    last = F.max(F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)], F.struct(F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ATTRIBUTES]).alias("_row")))
+    new = rows.groupBy("iis_no").agg(last.alias("_top"), F.min("at").alias("_first")).select("iis_no", F.lit(True).alias("_new"), "_first", "_top._row.*")
     both = documents.join(new, "iis_no", "full_outer")
     fresh, known = F.coalesce("_new", F.lit(False)), F.col("source").isNotNull()
     source = F.when(fresh & F.lit(live), "iis_live").otherwise(F.coalesce("source", F.lit("excel")))
@@ -87,14 +87,39 @@ def verify(requests: DataFrame, documents: DataFrame, live: DataFrame) -> DataFr
 def backfill(requests: DataFrame, documents: DataFrame, live: DataFrame) -> DataFrame:
     """As `verify`, but what one request found live is in the registry for the later ones, in the order of (ts, req_id).
 
-    The first staff request of a live record finds it live; every later request of it, on any path, finds it locally.
+    The first staff request of a live record that isn't on file finds it live; every later request of it, on any path, finds
+    it locally. Those first requests are one row a key, found before the look-ups, so each look-up is done once.
     """
-    v = verify(requests, documents, live)
-    key = normalize_id(F.col("queried_id"))["lookup_key"]
-    first = v.filter("status = 'verified_live'").groupBy(key.alias("k")).agg(F.min(F.struct("ts", "req_id")).alias("since"))
-    v = v.withColumn("k", key).join(first, "k", "left")
-    later = F.col("since").isNotNull() & (F.struct("ts", "req_id") > F.col("since")) & F.col("status").isin("verified_live", "needs_staff", "not_found")
-    return v.select("req_id", "ts", "queried_id", F.when(later, F.col("k")).otherwise(F.col("resolved_iis_no")).alias("resolved_iis_no"), F.when(later, "verified_local").otherwise(F.col("status")).alias("status"), F.when(later, "local_hit").otherwise(F.col("outcome")).alias("outcome"), "path", "client_hint")
+    n = requests.withColumn("n", normalize_id(F.col("payload"))).select("*", "n.kind", F.when(F.col("n.kind") != "unknown", F.col("n.lookup_key")).alias("lookup_key"))
+    first = n.filter((F.col("path") == "staff") & F.col("lookup_key").isNotNull()).groupBy("lookup_key").agg(F.min(F.struct("ts", "req_id")).alias("since"))
+    first = first.join(live.select(F.col("iis_no").alias("lookup_key")), "lookup_key", "left_semi")
+    found = lookup(n, documents.select("iis_no", F.lit(True).alias("_h"))).join(first, "lookup_key", "left")
+    order = F.struct("ts", "req_id")
+    hit, found_live, later = F.col("hit").isNotNull(), F.col("since") == order, F.col("since") < order
+    status = (
+        F.when(F.col("kind") == "unknown", "invalid").when(hit, "verified_local").when(found_live, "verified_live").when(later, "verified_local")
+        .when(F.col("path") == "staff", "not_found").otherwise("needs_staff")
+    )
+    outcome = F.when(hit, "local_hit").when(found_live, "iis_hit").when(later, "local_hit").otherwise("not_found")
+    known = hit | F.coalesce(found_live, F.lit(False)) | F.coalesce(later, F.lit(False))
+    return found.select("req_id", "ts", F.col("n.raw").alias("queried_id"), F.when(known, F.col("lookup_key")).alias("resolved_iis_no"), status.alias("status"), outcome.alias("outcome"), "path", "client_hint")
+
+
+def qr_resolutions(documents: DataFrame, codes: DataFrame, live_pages: DataFrame, base: str) -> DataFrame:
+    """(doc_id, ok, reason, iis_no, url, page_no, record): the record that a document's own code leads to.
+
+    documents: (doc_id); codes: (doc_id, page_no, seq, url), what a scanner read on the first pages; live_pages: (url,
+    page_text), what the followed URLs answered, null where nothing did. The first code by page and place counts. reason, null
+    where ok: 'no-qr' (no code, or one that mustn't be followed from `base`'s host), 'unreachable' (no answer), 'no-record'
+    (an answer without a number that can be sealed). URLs that mustn't be followed never meet live_pages.
+    """
+    first = codes.filter("url IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("url", "page_no"), F.struct("page_no", "seq")).alias("c")).select("doc_id", "c.*")
+    gate = may_fetch(F.col("url"), F.lit(base))
+    followed = documents.select("doc_id").distinct().join(first, "doc_id", "left").withColumn("_u", F.when(gate, F.col("url")))
+    pages = live_pages.groupBy(F.col("url").alias("_u")).agg(F.max("page_text").alias("page_text"))
+    got = followed.join(pages, "_u", "left").withColumn("record", parse_verification_page(F.col("page_text")))
+    reason = F.when(F.col("_u").isNull(), "no-qr").when(F.col("page_text").isNull(), "unreachable").when(F.col("record").isNull(), "no-record")
+    return got.select("doc_id", reason.isNull().alias("ok"), reason.alias("reason"), "record.iis_no", F.when(reason.isNull(), F.col("url")).alias("url"), F.when(reason.isNull(), F.col("page_no")).alias("page_no"), "record")
 
 
 def first_reached_mode(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

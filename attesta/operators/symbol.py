@@ -502,6 +502,14 @@ def baseline(pixels: DataFrame, side: int, n: int = N) -> DataFrame:
     return g.withColumn("carrier", F.col("ink") & beside(F.lag, row) & beside(F.lead, row) & beside(F.lag, col) & beside(F.lead, col))
 
 
+def artwork_rows(tiles: DataFrame, n: int = N) -> tuple[str, ...]:
+    """The artwork of one picture's tiles (r, c, ink) of `baseline`, as the rows that the other operators take; n by n tiles."""
+    got = {(r["r"], r["c"]): r["ink"] for r in tiles.select("r", "c", "ink").limit(n * n + 1).collect()}
+    if len(got) != n * n:
+        raise ValueError(f"an artwork has {n} by {n} tiles")
+    return tuple("".join("1" if got[y, x] else "0" for x in range(n)) for y in range(n))
+
+
 def fixed_groups(tiles: DataFrame) -> DataFrame:
     """(image_id, r, c, part) of the tiles that carry nothing: 'on', 'hole' or 'field', by running maxima from four sides."""
     sides = []

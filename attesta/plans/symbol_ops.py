@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from attesta.operators import symbol as s
-from attesta.plans import page_ops as p
 from attesta.sources.spread import spread
 from attesta.sources.tables import table
 
 
+#: What a payload has to look like.
+_FIT = r"^CVR\|R1-(20|21)[0-9]{2}-[0-9]{6}\|[0-9]{1,3}\|[A-Z2-7]{4}-[A-Z2-7]{4}$"
+#: Pixels of a side of the square pictures, two a tile.
+SIDE = 2 * s.N
+
+
 def payloads(spark, d):
     """A payload for each page on file; every seventh has a number that can't be carried."""
     r = table(spark, d, "pages").select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("no"), "page_no", "seal").filter("no <> ''").distinct()
@@ -45,37 +52,67 @@ def ref_s11_svg(spark, d):
     return v.select("payload", F.md5("svg").alias("md5"), F.size(F.split("svg", "<rect ")).alias("rects"))
 
 
-def ref_k12_decode(spark, d):
-    """Pictures of the symbols of the removed records' numbers, read again."""
-    g = table(spark, d, "registry_removals").select(F.regexp_extract(F.upper("iis_no"), "R1-[0-9]{4}-[0-9]{4,}", 0).alias("no")).filter("no <> ''").distinct()
-    img = g.select(F.concat_ws("|", F.lit("CVR"), "no", F.lit("1"), F.lit("PP64-QXA6")).alias("image_id")).withColumn("gray", s.raster_udf()("image_id"))
+@F.pandas_udf(T.BinaryType())
+def _worn(gray: pd.Series, how: pd.Series) -> pd.Series:
+    """Pictures as they come from paper: as they are, blurred, with a pen stroke over them, or unevenly lit."""
+
+    def one(g: bytes, k: int) -> bytes:
+        side = int(len(g) ** 0.5)
+        a = np.frombuffer(g, np.uint8).reshape(side, side).astype(np.float32)
+        if k == 1:
+            a = (a + np.roll(a, 1, 0) + np.roll(a, -1, 0) + np.roll(a, 1, 1) + np.roll(a, -1, 1)) / 5
+        elif k == 2:
+            a[side * 5 // 11 : side * 5 // 11 + 2] = 40
+        elif k == 3:
+            a = a * (0.75 + 0.25 * np.linspace(0, 1, side, dtype=np.float32))[None, :]
+        return a.astype(np.uint8).tobytes()
+
+    return pd.Series([None if g is None else one(g, int(k)) for g, k in zip(gray, how)], dtype=object)
+
+
+def pictures(spark, d):
+    """A worn picture (image_id, width, height, gray) of the symbol of each page on file that can be carried."""
+    img = payloads(spark, d).filter(F.col("payload").rlike(_FIT)).select(F.col("payload").alias("image_id"), s.raster_udf()("payload").alias("gray"))
     side = F.sqrt(F.length("gray")).cast("int")
-    return s.decode_images(img.select("image_id", side.alias("width"), side.alias("height"), "gray")).withColumn("same", F.col("payload") == F.col("image_id"))
+    return img.select("image_id", side.alias("width"), side.alias("height"), _worn("gray", F.crc32("image_id") % 4).alias("gray"))
+
+
+def ref_k12_decode(spark, d):
+    return s.decode_images(pictures(spark, d)).withColumn("same", F.col("payload") == F.col("image_id"))
+
+
+def squares(spark, d):
+    """A square picture of SIDE pixels for each supplier, two pixels a tile: rings whose width depends on the number, some of one tone."""
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
+    i, x, y = F.col("image_id"), F.col("x"), F.col("y")
+    ring = F.floor(((x - 44) * (x - 44) + (y - 40) * (y - 40)) / (i % 7 * 40 + 60)).cast("int")
+    return p.withColumn("v", F.when(i % 9 == 0, 20 + x % 3).when(ring % 3 == 1, 250 - y % 4).otherwise(30 + (x * 7 + y * 13) % 190).cast("int"))
 
 
 def ref_k13_baseline(spark, d):
-    return s.baseline(p.pixels(spark, d).filter("y < 30 AND x < 30"), 30, 10).withColumnRenamed("c", "col")
+    return s.baseline(squares(spark, d), SIDE).withColumnRenamed("c", "col")
 
 
 def ref_k14_fixed_groups(spark, d):
-    return s.fixed_groups(s.baseline(p.pixels(spark, d).filter("y < 30 AND x < 30"), 30, 10)).withColumnRenamed("c", "col")
+    return s.fixed_groups(s.baseline(squares(spark, d), SIDE)).withColumnRenamed("c", "col")
 
 
 def ref_a15_recovery(spark, d):
-    return s.recovery(spark, 200, [0.02, 0.03, 0.035, 0.04, 0.045], [12, 24])
+    """4,000 words for each number of parity bytes and rate of flipped bits."""
+    return s.recovery(spark, 4000, [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10], [12, 24])
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("ref_") and callable(f)}
 
+_SQUARES = f"SELECT image_id, x, y, CASE WHEN image_id % 9 = 0 THEN 20 + x % 3 WHEN CAST(floor(((x - 44) * (x - 44) + (y - 40) * (y - 40)) / (image_id % 7 * 40 + 60)) AS INTEGER) % 3 = 1 THEN 250 - y % 4 ELSE 30 + (x * 7 + y * 13) % 190 END AS v FROM (SELECT s_suppkey AS image_id, unnest(range(0, {SIDE})) AS x FROM supplier), (SELECT unnest(range(0, {SIDE})) AS y)"
 _PAY = "SELECT DISTINCT concat_ws('|', 'CVR', CASE WHEN page_no = 7 THEN 'R1-1999-12' ELSE no END, page_no, seal) AS payload FROM (SELECT DISTINCT regexp_extract(upper(iis_no), 'R1-[0-9]{4}-[0-9]{4,}', 0) AS no, page_no, seal FROM pages) WHERE no <> ''"
-_FIT = r"^CVR\|R1-(20|21)[0-9]{2}-[0-9]{6}\|[0-9]{1,3}\|[A-Z2-7]{4}-[A-Z2-7]{4}$"
 _SEALBITS = "list_sum(list_transform(range(0, 8), lambda i: CAST(strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', substr(s, i + 1, 1)) - 1 AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(35 - 5 * i AS INTEGER))))"
-_TILES = f"SELECT image_id, CAST(y // 3 AS INTEGER) AS r, CAST(x // 3 AS INTEGER) AS col, avg(CAST(v < 200 AS INTEGER)) > 0.5 AS ink FROM ({p.SQL_PIXELS}) WHERE x < 30 AND y < 30 GROUP BY 1, 2, 3"
+_TILES = f"SELECT image_id, CAST(y // 2 AS INTEGER) AS r, CAST(x // 2 AS INTEGER) AS col, avg(CAST(v < 200 AS INTEGER)) > 0.5 AS ink FROM ({_SQUARES}) GROUP BY 1, 2, 3"
 _BASE = f"""SELECT *, ink AND coalesce(lag(ink) OVER a, false) AND coalesce(lead(ink) OVER a, false) AND coalesce(lag(ink) OVER b, false) AND coalesce(lead(ink) OVER b, false) AS carrier FROM ({_TILES})
   WINDOW a AS (PARTITION BY image_id, r ORDER BY col), b AS (PARTITION BY image_id, col ORDER BY r)"""
 
 SQL = {
-    "ref_k12_decode": "SELECT DISTINCT 'CVR|' || no || '|1|PP64-QXA6' AS image_id, 'CVR|' || no || '|1|PP64-QXA6' AS payload, true AS same FROM (SELECT regexp_extract(upper(iis_no), 'R1-[0-9]{4}-[0-9]{4,}', 0) AS no FROM registry_removals) WHERE no <> ''",
+    "ref_k12_decode": f"SELECT payload AS image_id, payload, true AS same FROM ({_PAY}) WHERE regexp_matches(payload, '{_FIT}')",
     "ref_k6_pack": f"""SELECT payload, printf('1f%02x%06x%02x%010x', CAST(substr(payload, 8, 4) AS INTEGER) - 2000, CAST(substr(payload, 13, 6) AS INTEGER), CAST(split_part(payload, '|', 3) AS INTEGER), CAST({_SEALBITS} AS BIGINT)) AS data
       FROM (SELECT payload, replace(split_part(payload, '|', 4), '-', '') AS s FROM ({_PAY}) WHERE regexp_matches(payload, '{_FIT}'))""",
     "ref_k10_rs_decode": f"SELECT payload, payload AS read, true AS same FROM ({_PAY}) WHERE regexp_matches(payload, '{_FIT}')",

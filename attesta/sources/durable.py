@@ -47,6 +47,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of whatever file system; none where there is no folder."""
+    at, fs = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of its own in whatever file system."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def clear(spark: SparkSession | None = None) -> None:
     """Remove the intermediate tables of this application. DataFrames that read them can't be used any more."""
     spark = spark or SparkSession.getActiveSession()
@@ -54,8 +74,8 @@ def clear(spark: SparkSession | None = None) -> None:
         return
     path = _made.pop(spark.sparkContext.applicationId, None)
     if path:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _at(spark, path)
+        fs.delete(at, True)
 
 
 def sized(written: DataFrame, most: int) -> DataFrame:

@@ -8,12 +8,15 @@ are not there. Numbers are text as they are written in the file; shared and inli
 from __future__ import annotations
 
 import glob
+import io
 import os
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -39,7 +42,7 @@ def _targets(book: zipfile.ZipFile, name: str) -> dict[str, str]:
     return {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read(name)).iter(f"{_P}Relationship")}
 
 
-def read_sheet(path: str, width: int) -> Iterator[tuple]:
+def read_sheet(path: str | IO[bytes], width: int) -> Iterator[tuple]:
     """(row_no, (text, hyperlink), ...) of the first worksheet, without its header."""
     with zipfile.ZipFile(path) as book:
         shared = [_texts(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_M}si")] if "xl/sharedStrings.xml" in book.namelist() else []
@@ -101,11 +104,24 @@ class SheetSource(DataSource):
         return SheetReader(self.options["path"], int(self.options.get("columns", 7)))
 
 
+def sheets(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """The rows of the workbooks at `path`, in whatever file system Spark reads; a task reads its workbooks one by one."""
+    cell = "struct<text:string,hyperlink:string>"
+    schema = ", ".join(["row_no int", *[f"c{i} {cell}" for i in range(1, width + 1)]])
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                rows = [(r[0], *[None if c is None else {"text": c[0], "hyperlink": c[1]} for c in r[1:]]) for r in read_sheet(io.BytesIO(content), width)]
+                yield pd.DataFrame(rows, columns=["row_no", *[f"c{i}" for i in range(1, width + 1)]])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content").mapInPandas(run, schema)
+
+
 def registry_sheet(spark: SparkSession, path: str) -> DataFrame:
     """The registry's seven columns of a workbook or a folder of workbooks; the last is where its cell points to."""
     from attesta.operators.registry import ATTRIBUTES, cell_link, cell_text
 
-    spark.dataSource.register(SheetSource)
-    rows = spark.read.format("sheet").option("columns", 7).load(path)
+    rows = sheets(spark, path, 7)
     named = ["iis_no", *ATTRIBUTES]
     return rows.select("row_no", *[(cell_link if i == 7 else cell_text)(F.col(f"c{i}.text"), F.col(f"c{i}.hyperlink")).alias(n) for i, n in enumerate(named, 1)])

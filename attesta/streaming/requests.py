@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attesta.operators.registry import ATTRIBUTES, backfill, merge_batch
 from attesta.operators.symbol import decode_images
+from attesta.sources.durable import children
 
 MIN_GAP_MS, COOLDOWN_MS = 3000, 60_000
 
@@ -83,32 +84,44 @@ def cooled(attempts: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
 class RegistryStream:
     """Requests verified batch by batch against a registry that lives in files.
 
-    Each batch writes the log rows of its requests and a new version of the registry with what was found live. Files are named
-    by the batch, so a repeated batch overwrites its own output and nothing else.
+    `folder` holds documents/base=N, the whole registry after batch N, found/batch=N, what batch N found live, and
+    log/batch=N, the log rows of its requests. A batch sees the newest base before it and what the batches since then found,
+    and writes only its own folders: repeated after a failure it sees and writes the same. A new stream on a folder goes on
+    with what is there. Every COMPACT batches a new base is written.
     """
 
+    COMPACT = 50
+
     def __init__(self, documents: DataFrame, live: DataFrame, folder: str) -> None:
         self.live, self.folder, self.spark = live, folder, documents.sparkSession
-        self.version = f"{folder}/documents/start"
-        documents.write.mode("overwrite").parquet(self.version)
+        if not self._numbers("documents", "base"):
+            documents.write.mode("overwrite").parquet(f"{folder}/documents/base=-1")
+
+    def _numbers(self, table: str, name: str) -> list[int]:
+        """The numbers of the finished folders table/name=N."""
+        root = f"{self.folder}/{table}"
+        return sorted(int(x.removeprefix(f"{name}=")) for x in children(self.spark, root) if x.startswith(f"{name}=") and "_SUCCESS" in children(self.spark, f"{root}/{x}"))
+
+    def documents(self, before: int | None = None) -> DataFrame:
+        """The registry as batch `before` sees it; without a number as it is."""
+        seen = lambda n: before is None or n < before
+        base = max(n for n in self._numbers("documents", "base") if seen(n))
+        rows = self.spark.read.parquet(f"{self.folder}/documents/base={base}")
+        later = [f"{self.folder}/found/batch={n}" for n in self._numbers("found", "batch") if n > base and seen(n)]
+        return merge_batch(rows, self.spark.read.parquet(*later), [F.col("at")], live=True) if later else rows
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        documents = self.spark.read.parquet(self.version)
-        seen = backfill(batch, documents, self.live)
         log = f"{self.folder}/log/batch={number}"
-        seen.write.mode("overwrite").parquet(log)
+        backfill(batch, self.documents(number), self.live).write.mode("overwrite").parquet(log)
         found = self.spark.read.parquet(log).filter("outcome = 'iis_hit'").select(F.col("resolved_iis_no").alias("iis_no"), F.col("ts").alias("at")).groupBy("iis_no").agg(F.min("at").alias("at"))
         rows = found.join(self.live.dropDuplicates(["iis_no"]), "iis_no").select("iis_no", "at", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ATTRIBUTES])
-        version = f"{self.folder}/documents/after={number}"
-        merge_batch(documents, rows, [F.col("at")], live=True).write.mode("overwrite").parquet(version)
-        self.version = version
+        rows.write.mode("overwrite").parquet(f"{self.folder}/found/batch={number}")
+        if number - max(n for n in self._numbers("documents", "base") if n < number) >= self.COMPACT:
+            self.documents(number + 1).write.mode("overwrite").parquet(f"{self.folder}/documents/base={number}")
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/log")
 
-    def documents(self) -> DataFrame:
-        return self.spark.read.parquet(self.version)
-
 
 def frame_payloads(frames: DataFrame) -> DataFrame:
     """Frames (image_id, width, height, gray) of a camera as a stream of the payloads that they show."""

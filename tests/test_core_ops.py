@@ -89,6 +89,21 @@ def test_documents(spark):
     assert said[5] == ["Page 1 (page 1) content was altered.", "Page 2 belongs to a different document (R1-2026-000009)."]
 
 
+def test_documents_against_an_expected_number(spark):
+    rows = [(1, 1, "R1-2026-000001", 1, 2, "verified"), (1, 2, "R1-2026-000001", 2, 2, "verified"), (2, 1, "R1-2026-000002", 1, 1, "verified"), (3, 1, None, None, None, "not_sealed")]
+    pages = spark.createDataFrame([(a, b, c, k, n, "1", "s", st) for a, b, c, k, n, st in rows], "doc_id int, position int, iis_no string, claimed_k int, claimed_n int, kid string, seal string, status string")
+    docs = i.document_findings(pages, spark.createDataFrame([(1, "R1-2026-000009"), (2, ""), (3, "R1-2026-000003"), (4, "x")], "doc_id int, expected_no string"))[1]
+    assert sorted((x.doc_id, x.iis_no, x.claimed_pages, x.n_findings, x.status) for x in docs.collect()) == [(1, "R1-2026-000009", None, 2, "tampered"), (2, "R1-2026-000002", 1, 0, "intact"), (3, "R1-2026-000003", None, 1, "tampered")]
+
+
+def test_resolution_by_code(spark):
+    docs = spark.createDataFrame([(k,) for k in range(1, 7)], "doc_id int")
+    codes = [(1, 2, 1, "https://r.example/b"), (1, 1, 2, "https://r.example/a"), (2, 1, 1, "https://r.example@evil.example/"), (3, 1, 1, "https://r.example/c"), (4, 1, 1, "https://R.example/d"), (5, 1, 1, None)]
+    pages = [("https://r.example/a", "IIS No: R1-2026-000001\nSubject: Ana"), ("https://r.example/a", None), ("https://R.example/d", "nothing"), ("https://r.example@evil.example/", "IIS No: R1-2026-000001")]
+    got = r.qr_resolutions(docs, spark.createDataFrame(codes, "doc_id int, page_no int, seq int, url string"), spark.createDataFrame(pages, "url string, page_text string"), "https://r.example")
+    assert sorted((x.doc_id, x.ok, x.reason, x.iis_no, x.page_no) for x in got.collect()) == [(1, True, None, "R1-2026-000001", 1), (2, False, "no-qr", None, None), (3, False, "unreachable", None, None), (4, False, "no-record", None, None), (5, False, "no-qr", None, None), (6, False, "no-qr", None, None)]
+
+
 def test_page_verdicts(spark):
     s = one(spark, seals.seal(KEYS, F.lit("1"), F.lit("R1-2026-000001"), F.lit(1), F.lit(3), F.lit("d")))
     pages = spark.createDataFrame([("R1-2026-000001", 1, 3, "1", s, "d"), ("R1-2026-000002", 1, 3, "7", s, "d")], "iis_no string, page_no int, total_pages int, kid string, seal string, digest string")
@@ -108,5 +123,7 @@ def test_every_query_runs_on_the_smallest_tables(spark):
     assert len(e.entry(spark).columns) == 3
     sql = e.oracle_sql()
     for name, q in e.queries().items():
-        assert q(spark, SF).columns, name
+        df = q(spark, SF)
+        assert len(set(df.columns)) == len(df.columns), name
+        df.write.format("noop").mode("overwrite").save()
     assert set(sql) <= set(e.queries())

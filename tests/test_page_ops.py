@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from attesta.operators import ocr, quality as q, spatial as s
-from attesta.plans.stream_ops import write_sheet
+from attesta.plans.stream_ops import sheet_bytes
 from attesta.sources.sheet import registry_sheet
 from attesta.streaming import requests as r
 
@@ -90,7 +90,7 @@ def test_paced_calls(spark):
 
 
 def test_sheets(spark, tmp_path):
-    write_sheet(str(tmp_path / "a.xlsx"), [("R1-2026-000001", "Ana", None, "x", "", "kind", "ref/"), (None,) * 7, ("R1-2026-000002", None, "c", None, None, None, None)])
+    (tmp_path / "a.xlsx").write_bytes(sheet_bytes([("R1-2026-000001", "Ana", None, "x", "", "kind", "ref/"), (None,) * 7, ("R1-2026-000002", None, "c", None, None, None, None)]))
     got = [tuple(x) for x in registry_sheet(spark, str(tmp_path)).orderBy("row_no").collect()]
     assert got == [(2, "R1-2026-000001", "Ana", "", "x", "", "kind", "ref/"), (4, "R1-2026-000002", "", "c", "", "", "", "")]
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -103,3 +103,39 @@ def test_sheets(spark, tmp_path):
         z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}" xmlns:r="{rel}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="D2"><v>12.5</v></c><c r="G2" t="inlineStr"><is><t>open</t></is></c></row></sheetData><hyperlinks><hyperlink ref="G2" r:id="h1"/></hyperlinks></worksheet>')
     got = [tuple(x) for x in registry_sheet(spark, str(tmp_path / "b.xlsx")).collect()]
     assert got == [(2, "R1-9", "", "", "12.5", "", "", "https://x.example/R1")]
+
+
+REQ = "req_id bigint, ts timestamp, payload string, path string, client_hint string"
+
+
+def test_a_registry_stream_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from attesta.operators.registry import ATTRIBUTES
+
+    monkeypatch.setattr(r.RegistryStream, "COMPACT", 2)
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    cols = ", ".join(f"{c} string" for c in ATTRIBUTES)
+    none = spark.createDataFrame([], f"iis_no string, {cols}, source string, first_seen timestamp, last_verified timestamp")
+    live = spark.createDataFrame([("R1-2024-000001", *"abcdef"), ("R1-2024-000002", *"ghijkl")], f"iis_no string, {cols}")
+    folder = str(tmp_path)
+    schema = spark.createDataFrame([], REQ).schema
+
+    def run(n, rows):
+        spark.createDataFrame(rows, REQ).coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        sink = r.RegistryStream(none, live, f"{folder}/out")
+        r.run_available(stream, sink, f"{folder}/checkpoint")
+        return sink
+
+    run(1, [(1, at(1), "R1-2024-000001", "staff", None), (2, at(2), "R1-2024-000009", "staff", None)])
+    run(2, [(3, at(3), "R1-2024-000001", "public", None), (4, at(4), "R1-2024-000002", "public", None)])
+    run(3, [(5, at(5), "R1-2024-000002", "staff", None), (6, at(6), "R1-2024-000002", "public", None)])
+    sink = run(4, [(7, at(7), "R1-2024-000002", "public", None), (8, at(8), None, "public", None)])
+    got = {x.req_id: x.status for x in sink.log().collect()}
+    assert got == {1: "verified_live", 2: "not_found", 3: "verified_local", 4: "needs_staff", 5: "verified_live", 6: "verified_local", 7: "verified_local", 8: "invalid"}
+    docs = {x.iis_no: (x.subject_name, x.source, x.first_seen, x.last_verified) for x in sink.documents().collect()}
+    assert docs == {"R1-2024-000001": ("a", "iis_live", at(1), at(1)), "R1-2024-000002": ("g", "iis_live", at(5), at(5))}
+    # A batch that is repeated sees what it saw, not what it wrote.
+    sink(spark.createDataFrame([(5, at(5), "R1-2024-000002", "staff", None), (6, at(6), "R1-2024-000002", "public", None)], REQ), 2)
+    assert {x.req_id: x.status for x in sink.log().collect()} == got and sink.documents().count() == 2

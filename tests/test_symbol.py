@@ -74,3 +74,16 @@ def test_components_match_a_flood_fill():
             ys, xs = zip(*part)
             boxes.append((len(part), min(xs), min(ys), max(xs), max(ys)))
         assert sorted(map(tuple, s.components(dark).tolist())) == sorted(boxes)
+
+
+def test_an_artwork_out_of_a_picture(spark):
+    """K13 gives the tiles of a picture; symbols made and read by them come back."""
+    ink = [[int(c) for c in row] for row in s.disc()]
+    px = spark.createDataFrame([(1, x, y, 30 if ink[y // 2][x // 2] else 240) for y in range(2 * s.N) for x in range(2 * s.N)], "image_id int, x int, y int, v int")
+    rows = s.artwork_rows(s.baseline(px, 2 * s.N))
+    assert rows == s.disc()
+    img = s.rasterize(s.tiles_for(PAYLOADS[0], s.artwork(rows)), 900)
+    df = spark.createDataFrame([(1, img.shape[1], img.shape[0], bytearray(img.tobytes())), (2, 5, 5, None)], "image_id int, width int, height int, gray binary")
+    assert {r.image_id: r.payload for r in s.decode_images(df, rows).collect()} == {1: PAYLOADS[0], 2: None}
+    with pytest.raises(ValueError):
+        s.artwork_rows(s.baseline(px.filter("x < 10"), 2 * s.N))
