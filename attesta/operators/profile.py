@@ -96,16 +96,36 @@ def signature_counts(rows: DataFrame, load: str, columns: Sequence[str], others:
     return rows.select(F.col(load).alias("load"), F.explode(each).alias("x")).select("load", "x.*").filter("sig IS NOT NULL").groupBy("load", "field_name", "listed", "sig").agg(F.count("*").alias("n"))
 
 
-def _candidates(counts: DataFrame, least_gain: float) -> list:
-    """Alternatives that could save enough in more than half of the loads, as rows (field_name, kind, key, n, chars)."""
+def _list_bits(values: Sequence[str]) -> float:
+    return math.log2(max(2, len(values)))
+
+
+def _candidates(counts: DataFrame, lists: Mapping[str, Sequence[str]], least_gain: float) -> list:
+    """Alternatives that could save enough in more than half of the loads, as rows (field_name, kind, key, n, chars).
+
+    A list that saves more than any pattern of its field could enters first; then only patterns count that could still save
+    enough among the values that aren't listed.
+    """
     c = counts.withColumn("bits", 8 * F.length("sig") * F.col("n"))
     whole = c.groupBy("load", "field_name").agg(F.sum("bits").alias("whole"))
     loads = whole.groupBy("field_name").agg(F.count("*").alias("loads"))
-    kinds = F.array(F.struct(F.lit("list").alias("kind"), F.col("listed").alias("key")), F.struct(F.lit("fixed").alias("kind"), F.col("sig").alias("key")), F.struct(F.lit("loose").alias("kind"), _loose(F.col("sig")).alias("key")))
-    each = c.withColumn("k", F.explode(kinds)).select("*", "k.*").filter("key IS NOT NULL").groupBy("load", "field_name", "kind", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
-    held = each.join(whole, ["load", "field_name"]).groupBy("field_name", "kind", "key").agg(F.count_if(F.col("bits") >= least_gain * F.col("whole")).alias("good"), F.sum("n").alias("n"), (F.sum("bits") / 8).alias("chars"))
-    found = held.join(loads, "field_name").filter("2 * good > loads").drop("good")
-    return found.collect()
+    named = F.lit(0.0)
+    for name, values in lists.items():
+        named = F.when(F.col("listed") == name, F.lit(_list_bits(values) + 1)).otherwise(named)
+    kind = lambda name, key, cost: F.struct(F.lit(name).alias("kind"), key.alias("key"), (cost * F.col("n")).alias("cost"))
+    kinds = F.array(kind("list", F.col("listed"), named), kind("fixed", F.col("sig"), F.lit(0.0)), kind("loose", _loose(F.col("sig")), F.lit(0.0)))
+    each = c.withColumn("k", F.explode(kinds)).select("*", "k.*").filter("key IS NOT NULL").groupBy("load", "field_name", "kind", "key").agg(
+        F.sum("bits").alias("bits"), F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum(F.when(F.col("listed").isNull(), F.col("bits")).otherwise(0)).alias("rest"))
+    enough = lambda x: F.count_if(x >= least_gain * F.col("whole"))
+    held = each.join(whole, ["load", "field_name"]).groupBy("field_name", "kind", "key").agg(
+        enough(F.col("bits") - F.col("cost")).alias("good"), enough(F.col("rest")).alias("good_rest"), F.sum("n").alias("n"), (F.sum("bits") / 8).alias("chars"), F.sum("cost").alias("cost"))
+    found = held.join(loads, "field_name").filter("2 * good > loads").collect()
+    for field in {r["field_name"] for r in found}:
+        own = [r for r in found if r["field_name"] == field]
+        first = [r for r in own if r["kind"] == "list"]
+        if len(first) == 1 and all(8 * first[0]["chars"] - first[0]["cost"] - 8 * len(first[0]["key"]) >= 8 * r["chars"] for r in own if r["kind"] != "list" and 2 * r["good_rest"] <= r["loads"]):
+            found = [r for r in found if r["field_name"] != field or r["kind"] == "list" or 2 * r["good_rest"] > r["loads"]]
+    return found
 
 
 def _regex(sig: str, loose: bool, literal: Mapping[int, str]) -> str:
@@ -127,18 +147,21 @@ def _group_regex(sig: str) -> str:
 def _common_runs(rows: DataFrame, columns: Sequence[str], others: Mapping[str, Column], found: list) -> dict[tuple, tuple[str, int, float]]:
     """For each open run of each pattern its most common text, about how many rows have it, and the mean length of the run, by frequency sketches in one pass."""
     fields, wanted = _fields(columns, others), []
+    used = [c for c in columns if any(r["field_name"] == c and r["kind"] != "list" for r in found)]
+    # Values, signatures and loose signatures once a row; the runs are cut out of them.
+    rows = rows.select(*[fields[c][1].alias(f"t{i}") for i, c in enumerate(used)]).select("*", *[signature(F.col(f"t{i}")).alias(f"s{i}") for i in range(len(used))])
+    rows = rows.select("*", *[_loose(F.col(f"s{i}")).alias(f"u{i}") for i in range(len(used))])
     for r in found:
         if r["kind"] == "list":
             continue
-        t = fields[r["field_name"]][1]
-        sig = signature(t)
+        k = used.index(r["field_name"])
         for i, (kind, start, length) in enumerate(_runs(r["key"])):
             if kind not in _CLASSES:
                 continue
             if r["kind"] == "fixed":
-                run = F.when(sig == r["key"], F.substring(t, start + 1, length))
+                run = F.when(F.col(f"s{k}") == r["key"], F.substring(f"t{k}", start + 1, length))
             else:
-                run = F.when(_loose(sig) == r["key"], F.regexp_extract(t, _group_regex(r["key"]), i + 1))
+                run = F.when(F.col(f"u{k}") == r["key"], F.regexp_extract(f"t{k}", _group_regex(r["key"]), i + 1))
             wanted.append(((r["field_name"], r["kind"], r["key"], i), run))
     out: dict[tuple, tuple[str, int, float]] = {}
     for at in range(0, len(wanted), 40):
@@ -163,13 +186,13 @@ def induce_expressions(rows: DataFrame, load: str, columns: Sequence[str], other
     if any(len(v) > MOST_LISTED for v in lists.values()):
         raise ValueError(f"a reference list has more than {MOST_LISTED} values")
     counts = durable(signature_counts(rows, load, columns, others, lists))
-    found = _candidates(counts, least_gain)
+    found = _candidates(counts, lists, least_gain)
     common = _common_runs(rows, columns, others, found)
     alternatives: dict[str, dict[tuple, tuple[Alternative, float, float]]] = {}
     for r in found:
         per_row, share = r["chars"] / r["n"], 1.0
         if r["kind"] == "list":
-            alternative, bits = Alternative(r["key"], True, r["n"]), math.log2(max(2, len(lists[r["key"]])))
+            alternative, bits = Alternative(r["key"], True, r["n"]), _list_bits(lists[r["key"]])
         else:
             loose, bits, literal = r["kind"] == "loose", 0.0, {}
             for i, (kind, _, length) in enumerate(_runs(r["key"])):
