@@ -28,9 +28,11 @@ WIDTHS = ((2, 24), (3, 40), (4, 40), (5, 32))
 TRAIN_DOCS, TRAIN_SENTENCES = 700, 1200
 #: Names of goods at most; each task holds them.
 MOST_GOODS = 100_000
-EPOCHS, BATCH, RATE, SEED = 4, 96, 0.005, 11
+EPOCHS, BATCH, RATE, SEED = 5, 64, 0.004, 5
 #: Steps of a fit at least, however small the sample.
-LEAST_STEPS = 300
+LEAST_STEPS = 600
+#: Documents that make the label of a sentence sure, where they are three quarters of those that have it.
+SEVERAL = 4
 #: Cost of a change of language, in nats, and the most that one sentence can say for a language against another.
 SWITCH, MOST = 1.0, 14.0
 #: Distinct sentences that are scored together, and windows that are summed together.
@@ -139,15 +141,24 @@ class ByteNet:
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The maxima of the filters over each window, and where they are; CHUNK windows at a time, so that the sums stay in the cache."""
         tops, where = np.empty((len(x), sum(n for _, n in WIDTHS)), np.float32), [np.empty((len(x), n), np.intp) for _, n in WIDTHS]
-        for i in range(0, len(x), CHUNK):
+        for k, part in self._chunks(x):
             at = 0
-            for k, (a, b) in enumerate(self._sums(x[i : i + CHUNK].astype(np.intp))):
+            for i, (a, b) in enumerate(self._sums(part)):
                 top = a.argmax(axis=1)
-                where[k][i : i + CHUNK] = top
-                tops[i : i + CHUNK, at : at + len(b)] = np.take_along_axis(a, top[:, None, :], 1)[:, 0, :] + b
+                where[i][k] = top
+                tops[k, at : at + len(b)] = np.take_along_axis(a, top[:, None, :], 1)[:, 0, :] + b
                 at += len(b)
         return np.maximum(tops, 0, out=tops), where
 
+    @staticmethod
+    def _chunks(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of `x` with their bytes, short windows together: of the spaces after them a filter's width is enough."""
+        length = WINDOW - (x[:, ::-1] != 32).argmax(axis=1)
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(x), CHUNK):
+            k = order[i : i + CHUNK]
+            yield k, x[k, : min(WINDOW, int(length[k[-1]]) + WIDTHS[-1][0])].astype(np.intp)
+
     def _sums(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for (w, _), f, b in zip(WIDTHS, self.filters, self.bias):
             span = x.shape[1] - w + 1
@@ -157,14 +168,10 @@ class ByteNet:
             yield a, b
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
-        """The log probabilities of each window. Short windows together: of the spaces after them a filter's width is enough."""
-        length = WINDOW - (x[:, ::-1] != 32).argmax(axis=1)
-        order = np.argsort(length, kind="stable")
+        """The log probabilities of each window."""
         h = np.empty((len(x), sum(n for _, n in WIDTHS)), np.float32)
-        for i in range(0, len(x), CHUNK):
-            k = order[i : i + CHUNK]
-            size = min(WINDOW, int(length[k[-1]]) + WIDTHS[-1][0])
-            h[k] = np.concatenate([a.max(axis=1) + b for a, b in self._sums(x[k, :size].astype(np.intp))], 1)
+        for k, part in self._chunks(x):
+            h[k] = np.concatenate([a.max(axis=1) + b for a, b in self._sums(part)], 1)
         z = np.maximum(h, 0, out=h) @ self.out + self.out_bias
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -217,8 +224,8 @@ def labelled(docs: DataFrame, language_names: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("title").alias("title"), (F.create_map(*pairs)[F.lower(F.trim("lang"))] if pairs else F.lit(None).cast("string")).alias("named"))
 
 
-def training_texts(named: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(text or title, language) of at most about `per_language` labelled documents for each language, chosen by a hash of the id."""
+def training_texts(named: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str, float]]:
+    """(text or title, language, documents that it stands for) of at most about `per_language` labelled documents for each language, chosen by a hash of the id."""
     known = named.filter(F.col("named").isNotNull() & (F.length("text") > 0))
     counts = {r[0]: r[1] for r in known.groupBy("named").agg(F.count("*")).collect()}  # one row a language
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
@@ -226,40 +233,45 @@ def training_texts(named: DataFrame, per_language: int = TRAIN_DOCS) -> list[tup
     for lang, n in counts.items():
         wanted = wanted | ((F.col("named") == lang) & (part < F.lit(min(1.0, per_language / n))))
     rows = known.filter(wanted).select("doc_id", "text", "title", "named").collect()
-    return [(t, r["named"]) for r in sorted(rows, key=lambda r: r["doc_id"]) for t in (r["text"], r["title"]) if t]
+    return [(t, r["named"], max(1.0, counts[r["named"]] / per_language)) for r in sorted(rows, key=lambda r: r["doc_id"]) for t in (r["text"], r["title"]) if t]
 
 
-def trained(texts: list[tuple[str, str]], per_language: int = TRAIN_SENTENCES, goods: Goods = NO_GOODS) -> ByteNet | None:
+def trained(texts: list[tuple], per_language: int = TRAIN_SENTENCES, goods: Goods = NO_GOODS) -> ByteNet | None:
     """The network fitted twice, or None without labelled sentences. Beyond `per_language` sentences the most frequent ones count."""
-    langs = sorted({lang for _, lang in texts})
-    said: dict[str, dict[str, int]] = {}
-    for text, lang in texts:
+    langs = sorted({x[1] for x in texts})
+    said: dict[str, dict[str, float]] = {}
+    seen: dict[str, int] = {}
+    # Labels are sampled alike, so what has a rare label by mistake would outweigh its own: each votes with what it stands for.
+    for text, lang, *weight in texts:
         for s in sentences(text, goods):
             votes = said.setdefault(s, {})
-            votes[lang] = votes.get(lang, 0) + 1
+            votes[lang] = votes.get(lang, 0) + (weight[0] if weight else 1.0)
+            seen[s] = seen.get(s, 0) + 1
     # A sentence that documents of several labels share counts for the label of most of them.
     kept: dict[str, list[str]] = {lang: [] for lang in langs}
-    for s, votes in sorted(said.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+    for s, votes in sorted(said.items(), key=lambda x: (-seen[x[0]], x[0])):
         lang = max(sorted(votes), key=votes.__getitem__)
         if 2 * votes[lang] > sum(votes.values()) and len(kept[lang]) < per_language:
             kept[lang].append(s)
-    x, y = [], []
+    x, y, sure = [], [], []
     for lang, ss in kept.items():
         for s in ss:
             plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
             for form in {s: 0, plain: 0}:  # accents are often left out
                 w = windows(form)
                 # What many documents say counts more, by the logarithm of their number.
-                times = int(math.log2(sum(said[s].values()))) + 1
+                times = int(math.log2(seen[s])) + 1
                 x += [w] * times
                 y.append(np.full(len(w) * times, langs.index(lang)))
+                # Wrong labels are scattered: what several documents of one label say is of its language.
+                sure.append(np.full(len(w) * times, seen[s] >= SEVERAL and 4 * said[s][lang] >= 3 * sum(said[s].values())))
     if not x:
         return None
     xs, ys = np.concatenate(x), np.concatenate(y)
     first = ByteNet(langs).fit(xs, ys, epochs=2)
     lp = first.log_probs(xs)
     own = lp[np.arange(len(ys)), ys]
-    sound = own > lp.max(axis=1) - 1.0
+    sound = (own > lp.max(axis=1) - 1.0) | np.concatenate(sure)
     return ByteNet(langs).fit(xs[sound], ys[sound]) if sound.sum() >= 2 * len(langs) else first
 
 
@@ -286,30 +298,34 @@ def segments(named: DataFrame, net: ByteNet, goods: Goods = NO_GOODS) -> DataFra
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, np.ndarray] = {}
+        # For each sentence its likeliest language, the probability of it, and the scores and probabilities of all.
+        kept: dict[str, tuple[int, float, np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             cut = [sentences(t if isinstance(t, str) else None, goods) for t in pdf["text"]]
             fresh = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in kept]
             for i in range(0, len(fresh), BLOCK):
                 part = fresh[i : i + BLOCK]
                 each = [windows(s) for s in part]
-                owner = np.repeat(np.arange(len(part)), [len(w) for w in each])
                 lp = np.zeros((len(part), len(net.langs)))
-                np.add.at(lp, owner, net.log_probs(np.concatenate(each)))
-                kept.update(zip(part, lp))
+                np.add.at(lp, np.repeat(np.arange(len(part)), [len(w) for w in each]), net.log_probs(np.concatenate(each)))
+                lp = np.maximum(lp, lp.max(axis=1, keepdims=True) - MOST)
+                prob = np.exp(lp - np.log(np.exp(lp).sum(axis=1, keepdims=True)))
+                kept.update(zip(part, zip(lp.argmax(axis=1).tolist(), prob.max(axis=1).tolist(), lp, prob)))
             out = []
             for doc, name, c in zip(pdf["doc_id"], pdf["named"], cut):
                 if not c:
                     continue
-                scores = np.array([kept[s] for s in c])
-                scores = np.maximum(scores, scores.max(axis=1, keepdims=True) - MOST)
-                path = likeliest(scores)
-                prob = np.exp(scores - np.log(np.exp(scores).sum(axis=1, keepdims=True)))
-                size = np.array([len(s) for s in c], float)
+                found = [kept[s] for s in c]
+                first = found[0][0]
+                if all(x[0] == first for x in found):  # no change of language can be likelier
+                    conf = sum(x[1] * len(s) for x, s in zip(found, c)) / sum(map(len, c))
+                    out.append((doc, name, 1, net.langs[first], round(conf, 4), len(c), 1))
+                    continue
+                path = likeliest(np.array([x[2] for x in found]))
                 edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                 for no, (a, b) in enumerate(zip(edges, edges[1:]), 1):
-                    conf = float((prob[range(a, b), path[a]] * size[a:b]).sum() / size[a:b].sum())
-                    out.append((doc, name, no, net.langs[path[a]], round(conf, 4), b - a, len(edges) - 1))
+                    conf = sum(x[3][path[a]] * len(s) for x, s in zip(found[a:b], c[a:b])) / sum(map(len, c[a:b]))
+                    out.append((doc, name, no, net.langs[path[a]], round(float(conf), 4), b - a, len(edges) - 1))
             if len(kept) > KEPT:
                 kept.clear()
             yield pd.DataFrame(out, columns=["doc_id", "named", "seg_no", "lang", "confidence", "n_sentences", "n_segments"])
