@@ -53,7 +53,7 @@ def paced_batch(requests: DataFrame, min_gap_ms: int = MIN_GAP_MS) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy("arrival_ms", "req_id")
-    i = F.row_number().over(w) * F.lit(min_gap_ms)
+    i = F.row_number().over(w).cast("bigint") * F.lit(min_gap_ms)  # 32 bits end at 36,000 calls a minute apart
     r = requests.withColumn("_i", i).withColumn("_m", F.col("arrival_ms") - F.col("_i"))
     top = F.max("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return r.withColumn("scheduled_ms", (top + F.col("_i")).cast("bigint")).select("source", "req_id", "arrival_ms", "scheduled_ms")

@@ -89,6 +89,13 @@ def test_paced_calls(spark):
     assert [x.scheduled_ms for x in got] == [0, 3000, 6000, 9000, 12000, 5]
 
 
+def test_paced_calls_beyond_32_bits(spark):
+    """Calls times gap pass 2**31."""
+    gap = 900_000_000
+    got = r.paced_batch(spark.createDataFrame([("a", i, i) for i in range(5)], "source string, req_id bigint, arrival_ms bigint"), gap).orderBy("req_id").collect()
+    assert [x.scheduled_ms for x in got] == [i * gap for i in range(5)]
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(sheet_bytes([("R1-2026-000001", "Ana", None, "x", "", "kind", "ref/"), (None,) * 7, ("R1-2026-000002", None, "c", None, None, None, None)]))
     got = [tuple(x) for x in registry_sheet(spark, str(tmp_path)).orderBy("row_no").collect()]
