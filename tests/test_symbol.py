@@ -1,6 +1,7 @@
 """Round trips of the symbol: bytes, tiles, pictures."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -87,3 +88,13 @@ def test_an_artwork_out_of_a_picture(spark):
     assert {r.image_id: r.payload for r in s.decode_images(df, rows).collect()} == {1: PAYLOADS[0], 2: None}
     with pytest.raises(ValueError):
         s.artwork_rows(s.baseline(px.filter("x < 10"), 2 * s.N))
+
+
+def test_worn_pictures_are_read_in_little_time():
+    """The last ones have a stroke beside which no box of the mark is right at first: 60 took 8 to 10 CPU seconds when every turn was read in full."""
+    clean = [s.rasterize(s.tiles_for(f"CVR|R1-2026-{i:06d}|1|PP64-QXA6", ART), 220) for i in range(60)]
+    for img in clean[40:]:
+        img[116:118] = 40
+    began = time.process_time()
+    assert [s.decode_image(img, ART) for img in clean] == [f"CVR|R1-2026-{i:06d}|1|PP64-QXA6" for i in range(60)]
+    assert time.process_time() - began < 4
