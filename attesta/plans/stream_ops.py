@@ -61,8 +61,10 @@ def _live_records(spark, d):
 
 
 def ref_t5_frame_stream(spark, d):
-    """Frames of a camera as a stream: worn pictures of the symbols of the pages on file, and what each shows."""
-    return _streamed(spark, y.pictures(spark, d), s.frame_payloads)
+    """Frames of a camera as a stream: worn pictures of the symbols of the pages on file, and what each shows. The frames are made in the stream."""
+    p = y.fit_payloads(spark, d)
+    tasks = y.tasks_for(p.count(), spark)
+    return _streamed(spark, p, lambda x: s.frame_payloads(y.pictures(x, tasks)))
 
 
 def sheet_bytes(rows: list[tuple]) -> bytes:

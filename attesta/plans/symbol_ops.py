@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from attesta.operators import symbol as s
+from attesta.sources.durable import durable
 from attesta.sources.spread import spread
 from attesta.sources.tables import table
 
@@ -52,33 +55,56 @@ def ref_s11_svg(spark, d):
     return v.select("payload", F.md5("svg").alias("md5"), F.size(F.split("svg", "<rect ")).alias("rects"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _worn(gray: pd.Series, how: pd.Series) -> pd.Series:
-    """Pictures as they come from paper: as they are, blurred, with a pen stroke over them, or unevenly lit."""
+def _worn(a: np.ndarray, k: int) -> bytes:
+    """A picture as it comes from paper: as it is, blurred, with a pen stroke over it, or unevenly lit."""
+    side, a = len(a), a.astype(np.float32)
+    if k == 1:
+        a = (a + np.roll(a, 1, 0) + np.roll(a, -1, 0) + np.roll(a, 1, 1) + np.roll(a, -1, 1)) / 5
+    elif k == 2:
+        a[side * 5 // 11 : side * 5 // 11 + 2] = 40
+    elif k == 3:
+        a = a * (0.75 + 0.25 * np.linspace(0, 1, side, dtype=np.float32))[None, :]
+    return a.astype(np.uint8).tobytes()
+
+
+#: Pictures of a task, and of a batch: a picture is 64 KB.
+TASK, BATCH = 1000, 100
+_PICTURE = "image_id string, width int, height int, gray binary"
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worn pictures (image_id, width, height, gray) of (payload, how)."""
+    art = s.artwork(s.disc())
+    for b in batches:
+        for some in (b.slice(k, BATCH) for k in range(0, b.num_rows, BATCH)):
+            ids, gray, sides = some.column(0).to_pylist(), [], []
+            for payload, how in zip(ids, some.column(1).to_pylist()):
+                tiles = s.tiles_for(payload, art)
+                img = None if tiles is None else s.rasterize(tiles, 220)
+                gray.append(None if img is None else _worn(img, how))
+                sides.append(None if img is None else len(img))
+            side = pa.array(sides, pa.int32())
+            yield pa.RecordBatch.from_arrays([some.column(0), side, side, pa.array(gray, pa.binary())], ["image_id", "width", "height", "gray"])
+
+
+def fit_payloads(spark, d):
+    """The payloads that can be carried, as a table just written."""
+    return durable(payloads(spark, d).filter(F.col("payload").rlike(_FIT)))
 
-    def one(g: bytes, k: int) -> bytes:
-        side = int(len(g) ** 0.5)
-        a = np.frombuffer(g, np.uint8).reshape(side, side).astype(np.float32)
-        if k == 1:
-            a = (a + np.roll(a, 1, 0) + np.roll(a, -1, 0) + np.roll(a, 1, 1) + np.roll(a, -1, 1)) / 5
-        elif k == 2:
-            a[side * 5 // 11 : side * 5 // 11 + 2] = 40
-        elif k == 3:
-            a = a * (0.75 + 0.25 * np.linspace(0, 1, side, dtype=np.float32))[None, :]
-        return a.astype(np.uint8).tobytes()
 
-    return pd.Series([None if g is None else one(g, int(k)) for g, k in zip(gray, how)], dtype=object)
+def tasks_for(rows: int, spark) -> int:
+    """Tasks for so many pictures: TASK each, so that none holds many at a time, and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))
 
 
-def pictures(spark, d):
-    """A worn picture (image_id, width, height, gray) of the symbol of each page on file that can be carried."""
-    img = payloads(spark, d).filter(F.col("payload").rlike(_FIT)).select(F.col("payload").alias("image_id"), s.raster_udf()("payload").alias("gray"))
-    side = F.sqrt(F.length("gray")).cast("int")
-    return img.select("image_id", side.alias("width"), side.alias("height"), _worn("gray", F.crc32("image_id") % 4).alias("gray"))
+def pictures(payloads_, tasks):
+    """A worn picture (image_id, width, height, gray) of the symbol of each payload, a batch or a stream; only payloads are moved, never pictures."""
+    return payloads_.select("payload", (F.crc32("payload") % 4).cast("int").alias("how")).repartition(tasks).mapInArrow(_drawn, _PICTURE)
 
 
 def ref_k12_decode(spark, d):
-    return s.decode_images(pictures(spark, d)).withColumn("same", F.col("payload") == F.col("image_id"))
+    p = fit_payloads(spark, d)
+    return s.decode_images(pictures(p, tasks_for(p.count(), spark)), deal=False).withColumn("same", F.col("payload") == F.col("image_id"))
 
 
 def squares(spark, d):

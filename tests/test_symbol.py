@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from attesta.operators import symbol as s
+from tests.conftest import SF
 
 PAYLOADS = ["CVR|R1-2026-010734|1|PP64-QXA6", "CVR|R1-2025-023099|7|BDIN-YZNT", "CVR|R1-2099-000001|255|AAAA-AAAA"]
 ART = s.artwork(s.disc())
@@ -98,3 +99,17 @@ def test_worn_pictures_are_read_in_little_time():
     began = time.process_time()
     assert [s.decode_image(img, ART) for img in clean] == [f"CVR|R1-2026-{i:06d}|1|PP64-QXA6" for i in range(60)]
     assert time.process_time() - began < 4
+
+
+def test_pictures_of_a_stream_stay_in_their_tasks(spark, monkeypatch):
+    """What is written for the stream are payloads, and no picture is moved between tasks."""
+    from attesta.plans import stream_ops, symbol_ops
+
+    seen = {}
+    monkeypatch.setattr(stream_ops, "_streamed", lambda spark, rows, step: seen.update(columns=rows.columns) or step(rows))
+    plan = stream_ops.ref_t5_frame_stream(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert seen["columns"] == ["payload"]
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    batch = symbol_ops.ref_k12_decode(spark, SF)
+    assert batch._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert batch.filter("NOT same OR same IS NULL").isEmpty()
