@@ -436,3 +436,13 @@ def test_a_network_is_kept_as_a_table(spark, tmp_path):
     found = g.document_languages(docs, names, net=again)
     assert sorted((r.doc_id, r.lang, r.is_case) for r in found.collect()) == [(1, "en", False), (3, "de", True)]
     assert sum(r.n_segments for r in g.confidence_report(found).collect()) == 2
+
+
+def test_letters_refuse_what_no_pattern_would_find(spark):
+    """Of words that meet as abbreviations, bits of their letters refuse most pairs before a pattern is tried, and none that it finds."""
+    rnd = random.Random(4)
+    words = [("".join(rnd.choices("abcdefgñoz19", k=rnd.randint(1, 9))),) for _ in range(150)]
+    w = spark.createDataFrame(words, "w string").withColumn("m", n._letters(F.col("w")))
+    pairs = w.alias("a").crossJoin(w.alias("b")).select(F.col("a.m").bitwiseAND(F.col("b.m")) == F.col("a.m"), n._subsequence(F.col("a.w"), F.col("b.w"))).collect()
+    assert not any(found and not held for held, found in pairs) and any(found for _, found in pairs)
+    assert sum(held for held, _ in pairs) < len(pairs) / 3
